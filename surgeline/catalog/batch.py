@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,8 +45,16 @@ ROW = [*ITEM, "window_end"]
 
 
 def query(f):
-    """Register under the function's name; a trailing underscore only avoids a clash."""
-    QUERIES[f.__name__.rstrip("_")] = f
+    """Register under the function's name; a trailing underscore only avoids a clash. Dates are
+    shown as text, so that results compare alike in every client."""
+
+    @wraps(f)
+    def shown(spark: SparkSession, d: str) -> DataFrame:
+        df = f(spark, d)
+        dates = [c.name for c in df.schema.fields if c.dataType.typeName() == "date"]
+        return df.withColumns({name: F.col(name).cast("string") for name in dates})
+
+    QUERIES[f.__name__.rstrip("_")] = shown
     return f
 
 
@@ -608,7 +617,7 @@ def trim_top_(spark, d):
 
 @query
 def agg_mean(spark, d):
-    return _sorted_samples(spark, d).select(*ITEM, "hour", r6(mean_of(F.col("samples")), "value"))
+    return _sorted_samples(spark, d).select(*ITEM, "hour", F.round(mean_of(F.col("samples")), 9).alias("value"))
 
 
 @query
@@ -766,7 +775,13 @@ def streak(spark, d):
 @query
 def replay_baselines(spark, d):
     b = F.col("baseline")
-    return _scored(spark, d).select(*ROW, "bucket", r6(b["value"], "value"), b["days"].alias("days"), b["samples"].alias("samples"))
+    return _scored(spark, d).select(
+        *ROW,
+        "bucket",
+        r6(b["value"], "value"),
+        F.coalesce(b["days"], F.lit(0)).alias("days"),
+        F.coalesce(b["samples"], F.lit(0)).alias("samples"),
+    )
 
 
 def _daily_scored(spark, d) -> DataFrame:
@@ -777,7 +792,7 @@ def _daily_scored(spark, d) -> DataFrame:
 @query
 def replay_baselines_daily(spark, d):
     b = F.col("baseline")
-    return _daily_scored(spark, d).select(*ROW, r6(b["value"], "value"), b["days"].alias("days"), "tier")
+    return _daily_scored(spark, d).select(*ROW, r6(b["value"], "value"), F.coalesce(b["days"], F.lit(0)).alias("days"), "tier")
 
 
 @query
