@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import batch
+from . import batch, streams  # noqa: F401  (streams registers its queries)
 
 
 def entry_query(spark: SparkSession, folder: str) -> DataFrame:

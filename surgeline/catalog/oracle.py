@@ -684,6 +684,25 @@ daily AS (SELECT capacity_key, item_id, ts::DATE AS day, round(sum(cu_seconds),
         "SELECT capacity_key, item_id, ts, round(cu_interval, 6) AS cu_interval, round(baseline_cu_s, 6) AS baseline_cu_s, baseline_days, "
         "round(ratio, 6) AS ratio FROM leg_scored",
     ),
+    "usage_stream_cumulative": statement(
+        USAGE,
+        "SELECT capacity_key, item_id, ts::DATE::VARCHAR AS day, round(sum(cu_seconds), 2) AS cu_seconds_today FROM usage GROUP BY ALL",
+    ),
+    "stream_intervals": statement(HOURLY, f"SELECT {INTERVAL_COLUMNS} FROM ivs"),
+    "bootstrap": statement(
+        HOURLY,
+        "SELECT s.capacity_key, s.ts AS window_end, count(*) AS items_scanned FROM snaps s LEFT JOIN ivs i ON i.capacity_key = s.capacity_key "
+        "AND i.item_id = s.item_id AND i.window_end = s.ts GROUP BY ALL HAVING count(i.item_id) = 0",
+    ),
+    "state_expiry": statement(
+        SCORED_HOURLY
+        + """
+daily AS (
+  SELECT capacity_key, item_id || '@' || day AS item_id, (count(*) FILTER (tier > 0) % 3)::INT AS streak,
+    max(window_end) FILTER (tier > 1) AS last_action_ts, max(window_end) AS last_seen_ts FROM scored GROUP BY ALL),
+""",
+        "SELECT * FROM daily WHERE last_seen_ts >= (SELECT max(last_seen_ts) FROM daily) - INTERVAL 7 DAY",
+    ),
     "calibrate_daily": statement(
         DAILY_SCORED + CALIBRATED, "SELECT * EXCLUDE (notes) FROM report"
     ),

@@ -24,6 +24,10 @@ def record(**fields: T.DataType) -> T.StructType:
 
 _ATTRIBUTE_FIELDS = {name: TEXT for name in ATTRIBUTES}
 
+USAGE = record(
+    ts=TIME, capacity_key=TEXT, capacity_id=TEXT, item_id=TEXT, **_ATTRIBUTE_FIELDS, cu_seconds=NUMBER
+)
+
 SNAPSHOTS = record(
     ts=TIME, capacity_key=TEXT, capacity_id=TEXT, item_id=TEXT, **_ATTRIBUTE_FIELDS, cu_seconds_today=NUMBER
 )
@@ -57,6 +61,8 @@ EVENTS = record(
     detail=TEXT,
 )
 
+ALERTS = record(capacity_key=TEXT, item_id=TEXT, window_end=TIME, channel=TEXT, tier=WHOLE, text=TEXT)
+
 FREEZE_WINDOW = record(name=TEXT, days=WHOLES, start_hour=WHOLE, end_hour=WHOLE, days_of_month=WHOLES)
 CHANNEL = record(kind=TEXT, url=TEXT, min_tier=TEXT, timeout_seconds=WHOLE)
 

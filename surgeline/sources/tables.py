@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.calendar import calendar_parts
-from ..operators.snapshots import dedup_latest_by_key
-from ..schemas import EVENTS, INTERVALS, ITEM, ITEM_STATE, SNAPSHOTS, WHOLE, record
+from ..operators.snapshots import dedup_latest_by_key, latest_per_item
+from ..schemas import ALERTS, EVENTS, INTERVALS, ITEM, ITEM_STATE, SNAPSHOTS, WHOLE, record
 
 
 def _stored(schema: T.StructType, **extra: T.DataType) -> T.StructType:
@@ -56,6 +56,12 @@ def retained_snapshots(snapshots: DataFrame, cutoff: dt.datetime) -> DataFrame:
     return snapshots.filter(F.col("ts") >= F.lit(cutoff).cast("timestamp_ntz"))
 
 
+def expire_states(state: DataFrame, ttl_days: int) -> DataFrame:
+    """Forget items not seen for longer than `ttl_days` before the newest sighting of any."""
+    newest = state.agg(F.max("last_seen_ts")).scalar()
+    return state.filter(F.col("last_seen_ts") >= newest - F.make_dt_interval(F.lit(ttl_days)))
+
+
 class WatchTables:
     """Reads and writes the tables under `root`, a folder all executors reach."""
 
@@ -93,9 +99,17 @@ class WatchTables:
         self._write_batch(with_calendar(intervals.select(*INTERVALS.names)), "intervals", batch)
 
     def read_intervals(
-        self, since: dt.date, until: dt.date, capacity_key: str | None = None, hours: list[int] | None = None
+        self,
+        since: dt.date,
+        until: dt.date,
+        capacity_key: str | None = None,
+        hours: list[int] | None = None,
+        before: int | None = None,
     ) -> DataFrame:
+        """Last write per item and time wins; `before` leaves out a batch and all later ones."""
         rows = self._read("intervals", _stored(INTERVALS, hour=WHOLE, dow=WHOLE))
+        if before is not None:
+            rows = rows.filter(F.col("batch") < before)
         chosen = load_intervals(rows, since, until, capacity_key, hours)
         key = [*ITEM, "window_end"]
         return dedup_latest_by_key(chosen, key, [F.desc("batch")]).drop("batch")
@@ -103,23 +117,43 @@ class WatchTables:
     def write_events(self, events: DataFrame, batch: int = 0) -> None:
         self._write_batch(events.withColumn("day", F.to_date("ts")), "events", batch)
 
+    def write_alerts(self, alerts: DataFrame, batch: int = 0) -> None:
+        self._write_batch(alerts.withColumn("day", F.to_date("window_end")), "alerts", batch)
+
+    def read_alerts(self) -> DataFrame:
+        return self._read("alerts", _stored(ALERTS)).select(*ALERTS.names)
+
     def read_events(self) -> DataFrame:
         return self._read("events", _stored(EVENTS)).select(*EVENTS.names)
 
     # -- state versions
 
+    def _load_version(self, table: str, schema: T.StructType, before: int | None) -> DataFrame:
+        versions = [v for v in self._versions(table) if before is None or v < before]
+        if not versions:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/version={max(versions)}")
+
     def load_states(self, before: int | None = None) -> DataFrame:
         """The newest complete version, or the newest one before a batch."""
-        versions = [v for v in self._versions("item_state") if before is None or v < before]
-        if not versions:
-            return self.spark.createDataFrame([], ITEM_STATE)
-        return self.spark.read.schema(ITEM_STATE).parquet(f"{self.root}/item_state/version={max(versions)}")
+        return self._load_version("item_state", ITEM_STATE, before)
 
-    def save_states(self, changes: DataFrame, batch: int = 0) -> None:
+    def save_states(self, changes: DataFrame, batch: int = 0, ttl_days: int | None = None) -> None:
         """Write the version of a batch: the one before it with the changes merged in."""
         merged = merge_states(self.load_states(before=batch), changes)
+        if ttl_days is not None:
+            merged = expire_states(merged, ttl_days)
         merged.write.mode("overwrite").parquet(f"{self.root}/item_state/version={batch}")
 
+    def load_last_readings(self, before: int | None = None) -> DataFrame:
+        return self._load_version("last_readings", SNAPSHOTS, before)
+
+    def save_last_readings(self, readings: DataFrame, batch: int) -> None:
+        """Newest reading of every item, so that a cycle need not search all snapshots."""
+        rows = self.load_last_readings(before=batch).unionByName(readings.select(*SNAPSHOTS.names))
+        newest = latest_per_item(rows).select(*SNAPSHOTS.names)
+        newest.write.mode("overwrite").parquet(f"{self.root}/last_readings/version={batch}")
+
     # -- retention
 
     def prune_snapshots(self, cutoff: dt.datetime) -> int:
