@@ -116,11 +116,59 @@ FROZEN = """CASE WHEN capacity_key = 'C1' AND isodow(window_end) <= 5 AND hour(w
 PROTECTED = """((capacity_key = 'C1' AND (item_kind = 'Pipeline' OR regexp_matches(item_name, '^sales', 'i')))
     OR (capacity_key = 'C2' AND workspace_id = 'ws-2'))"""
 
-ASSESSED = f"""
+GIVEN = """
 given AS (
   SELECT *, (hour(window_end) % 2)::INT AS streak,
     CASE hour(window_end) % 3 WHEN 0 THEN window_end - INTERVAL 90 MINUTE WHEN 1 THEN window_end - INTERVAL 200 MINUTE END AS last_action_ts
   FROM scored),
+"""
+
+# The true state of every cycle, found by walking each capacity's cycles one after the other.
+CARRIED = f"""
+islands AS (
+  SELECT *, sum(CASE WHEN tier = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY capacity_key, item_id ORDER BY window_end ROWS UNBOUNDED PRECEDING) AS island
+  FROM scored),
+runs AS (
+  SELECT *, sum(CASE WHEN tier > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY capacity_key, item_id, island ORDER BY window_end ROWS UNBOUNDED PRECEDING) AS run
+  FROM islands),
+chained AS (
+  SELECT *, lag(run, 1, 0) OVER (PARTITION BY capacity_key, item_id ORDER BY window_end)::INT AS streak,
+    dense_rank() OVER (PARTITION BY capacity_key ORDER BY item_id) AS idx,
+    CASE WHEN rate * max(minutes) OVER (PARTITION BY capacity_key, window_end) * 60 > 0
+      THEN 100.0::DOUBLE * sum(cu_seconds) OVER (PARTITION BY capacity_key, window_end)
+        / (rate * max(minutes) OVER (PARTITION BY capacity_key, window_end) * 60) END AS pct
+  FROM runs),
+eligible AS (
+  SELECT * FROM chained WHERE tier >= 2 AND days >= min_days AND normalized >= min_cu AND mode = 'enforce' AND NOT {PROTECTED}
+    AND {FROZEN} IS NULL AND streak + 1 >= breaches AND NOT coalesce(pct < floor_pct, false)),
+turns AS (
+  SELECT capacity_key, window_end, any_value(max_actions) AS most, any_value(cooldown) * 60 AS quiet, list(idx) AS wants,
+    epoch(window_end)::BIGINT AS sec, row_number() OVER (PARTITION BY capacity_key ORDER BY window_end) AS n
+  FROM eligible GROUP BY capacity_key, window_end),
+walk AS (
+  SELECT DISTINCT capacity_key, 0::BIGINT AS n, [NULL, NULL, NULL, NULL, NULL]::BIGINT[] AS last, []::BIGINT[] AS acts, NULL::TIMESTAMP AS moment
+  FROM turns
+  UNION ALL
+  SELECT capacity_key, n, CASE WHEN len(acts) > most THEN last
+      ELSE list_transform(range(1, 6), lambda i: CASE WHEN list_contains(acts, i) THEN sec ELSE last[i] END) END,
+    CASE WHEN len(acts) > most THEN [] ELSE acts END, window_end
+  FROM (SELECT t.*, w.last, list_filter(t.wants, lambda i: coalesce(t.sec - w.last[i] >= t.quiet, true)) AS acts
+    FROM walk w JOIN turns t ON t.capacity_key = w.capacity_key AND t.n = w.n + 1)),
+acted AS (
+  SELECT capacity_key, unnest(acts) AS idx, moment FROM walk WHERE n > 0),
+given AS (
+  SELECT c.* EXCLUDE (island, run, idx, pct), max(a.moment) AS last_action_ts
+  FROM chained c LEFT JOIN acted a ON a.capacity_key = c.capacity_key AND a.idx = c.idx AND a.moment < c.window_end
+  GROUP BY ALL),
+last_state AS (
+  SELECT c.capacity_key, c.item_id, CASE WHEN c.tier > 0 THEN c.streak + 1 ELSE 0 END AS streak, {LABELS}[c.tier + 1] AS last_tier,
+    max(a.moment) AS last_action_ts, c.window_end AS last_seen_ts
+  FROM (SELECT * FROM chained QUALIFY row_number() OVER (PARTITION BY capacity_key, item_id ORDER BY window_end DESC) = 1) c
+    LEFT JOIN acted a ON a.capacity_key = c.capacity_key AND a.idx = c.idx
+  GROUP BY ALL),
+"""
+
+ASSESSED = f"""
 held AS (
   SELECT *, cooldown > 0 AND coalesce(date_diff('second', last_action_ts, window_end) < cooldown * 60, false) AS in_cooldown,
     {FROZEN} AS frozen, {PROTECTED} AS protected
@@ -292,7 +340,8 @@ states AS (
 
 HOURLY = USAGE + SNAPS
 SCORED_HOURLY = HOURLY + POLICIES + SCORED
-GATED_HOURLY = SCORED_HOURLY + ASSESSED
+GATED_HOURLY = SCORED_HOURLY + GIVEN + ASSESSED
+REPLAYED_HOURLY = SCORED_HOURLY + CARRIED + ASSESSED
 FULL_HOURLY = GATED_HOURLY + OUTBOX
 DAILY_SCORED = DAILY_USAGE + SNAPS + DAILY_POLICIES.replace("capacity_key, 'enforce'", "capacity_key, NULL AS capacity_id, 'enforce'") + SCORED
 
@@ -318,7 +367,7 @@ def verdicts(table: str) -> str:
 
 
 def statement(parts: str, select: str) -> str:
-    return "WITH " + parts.strip().rstrip(",") + "\n" + select
+    return "WITH RECURSIVE " + parts.strip().rstrip(",") + "\n" + select
 
 
 def hourly_samples(select: str) -> str:
@@ -694,6 +743,15 @@ daily AS (SELECT capacity_key, item_id, ts::DATE AS day, round(sum(cu_seconds),
         "SELECT s.capacity_key, s.ts AS window_end, count(*) AS items_scanned FROM snaps s LEFT JOIN ivs i ON i.capacity_key = s.capacity_key "
         "AND i.item_id = s.item_id AND i.window_end = s.ts GROUP BY ALL HAVING count(i.item_id) = 0",
     ),
+    "replay_gates": statement(
+        REPLAYED_HOURLY, verdicts("gated") + " WHERE tier > 0"
+    ),
+    "replay_state": statement(REPLAYED_HOURLY, "SELECT * FROM last_state"),
+    "stream_gates": statement(REPLAYED_HOURLY, "SELECT * FROM last_state"),
+    "cycle": statement(
+        REPLAYED_HOURLY + OUTBOX,
+        "SELECT * REPLACE (CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 'batch-0' ELSE 'batch-1' END AS run_id) FROM audit",
+    ),
     "state_expiry": statement(
         SCORED_HOURLY
         + """

@@ -8,7 +8,10 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.intervals import derive_intervals, with_cadence
+from ..operators.report import first_cycles
 from ..operators.snapshots import dedup_latest_by_key
+from ..policy import policy_join
 from ..schemas import INTERVALS, ITEM, SNAPSHOTS, USAGE
 from ..session import scratch_path
 from ..sources.tables import WatchTables, expire_states
@@ -16,7 +19,7 @@ from ..streaming.intervals import stream_intervals as intervals_of_stream
 from ..streaming.usage import usage_stream_cumulative as cumulative_of_stream
 from ..streaming.watch import watch
 from . import fixture as fx
-from .batch import QUERIES, _scored, _show_events, _show_intervals, _state, query
+from .batch import _scored, _show_events, _show_intervals, _state, query
 
 HALFWAY = dt.datetime(2024, 1, 16)
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -104,7 +107,9 @@ def stream_gates(spark, d):
 @query
 def bootstrap(spark, d):
     """Cycles in which no item had an earlier reading yet."""
-    return QUERIES["run_summary"](spark, d).filter("bootstrap").select("capacity_key", "window_end", "items_scanned")
+    snapshots = fx.snapshots(spark, d)
+    cadenced = with_cadence(policy_join(derive_intervals(snapshots), fx.capacities(spark)))
+    return first_cycles(snapshots, cadenced)
 
 
 @query

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tiers import NONE
@@ -60,17 +61,14 @@ def run_summary(snapshots: DataFrame, intervals: DataFrame, anomalies: DataFrame
     `intervals` carry `comparable`; `results` say per anomaly whether an action was taken. All
     four are counted in one aggregation.
     """
-    names = ["scanned", "intervals", "skipped", "anomalies", "taken"]
-
-    def counted(df: DataFrame, **values) -> DataFrame:
-        return df.select(*CYCLE, *[values.get(n, F.lit(0)).cast("int").alias(n) for n in names])
-
     one = F.lit(1)
-    parts = counted(snapshots.withColumnRenamed("ts", "window_end"), scanned=one)
-    parts = parts.unionByName(counted(intervals, intervals=one, skipped=~F.col("comparable")))
-    parts = parts.unionByName(counted(anomalies.filter(F.col("tier") > NONE), anomalies=one))
-    parts = parts.unionByName(counted(results, taken=F.col("action_taken")))
-    return parts.groupBy(*CYCLE).agg(
+    parts = [
+        _counted(snapshots.withColumnRenamed("ts", "window_end"), scanned=one),
+        _counted(intervals, intervals=one, skipped=~F.col("comparable")),
+        _counted(anomalies.filter(F.col("tier") > NONE), anomalies=one),
+        _counted(results, taken=F.col("action_taken")),
+    ]
+    return reduce(DataFrame.unionByName, parts).groupBy(*CYCLE).agg(
         F.sum("scanned").alias("items_scanned"),
         F.sum("anomalies").alias("anomalies"),
         F.sum("taken").alias("actions_taken"),
@@ -79,6 +77,21 @@ def run_summary(snapshots: DataFrame, intervals: DataFrame, anomalies: DataFrame
     )
 
 
+COUNTERS = ["scanned", "intervals", "skipped", "anomalies", "taken"]
+
+
+def _counted(df: DataFrame, **values: Column) -> DataFrame:
+    return df.select(*CYCLE, *[values.get(n, F.lit(0)).cast("int").alias(n) for n in COUNTERS])
+
+
+def first_cycles(snapshots: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Cycles of a capacity in which no item had an earlier reading to compare with."""
+    scanned = _counted(snapshots.withColumnRenamed("ts", "window_end"), scanned=F.lit(1))
+    both = scanned.unionByName(_counted(intervals, intervals=F.lit(1)))
+    sums = both.groupBy(*CYCLE).agg(F.sum("scanned").alias("items_scanned"), F.sum("intervals").alias("_n"))
+    return sums.filter(F.col("_n") == 0).drop("_n")
+
+
 def enforce_readiness(capacities: DataFrame, intervals: DataFrame, today: dt.date) -> DataFrame:
     """Enforcing capacities with the days of history in their lookback, and whether these suffice."""
     p = F.col("policy")
