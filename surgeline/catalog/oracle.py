@@ -752,6 +752,17 @@ daily AS (SELECT capacity_key, item_id, ts::DATE AS day, round(sum(cu_seconds),
         REPLAYED_HOURLY + OUTBOX,
         "SELECT * REPLACE (CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 'batch-0' ELSE 'batch-1' END AS run_id) FROM audit",
     ),
+    "cycle_events": statement(
+        SCORED_HOURLY
+        + STATES
+        + """
+given AS (
+  SELECT c.*, coalesce(s.streak, 0) AS streak, s.last_action_ts FROM scored c LEFT JOIN states s USING (capacity_key, item_id)
+  WHERE window_end = (SELECT max(ts) FROM snaps)),
+"""
+        + ASSESSED,
+        verdicts("gated"),
+    ),
     "state_expiry": statement(
         SCORED_HOURLY
         + """

@@ -71,8 +71,10 @@ class WatchTables:
     # -- batches
 
     def _write_batch(self, df: DataFrame, table: str, batch: int) -> None:
+        # rebalanced by day: neither many small files for many days nor one task for a full day
         (
             df.withColumn("batch", F.lit(batch).cast("bigint"))
+            .hint("rebalance", "day")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("day", "batch")
