@@ -735,7 +735,8 @@ def discard_count(spark, d):
 @query
 def empty_history_report(spark, d):
     policies = fx.policy_set()
-    done = run_calibration(fx.intervals(spark, d), fx.capacities(spark), policies.max_lookback)
+    history = materialize(fx.intervals(spark, d), "intervals")
+    done = run_calibration(history, fx.capacities(spark), policies.max_lookback)
     return done.report.select(
         "capacity_key", "days_of_history", "total_intervals", "would_alert", "would_throttle", "would_kill",
         "suggested_alert", "suggested_throttle", "suggested_kill", "suggested_min_cu",
@@ -930,7 +931,8 @@ def legacy_scored(spark, d):
 def calibrate_daily(spark, d):
     """Calibration of the daily log, whose items grow with the table."""
     policies = fx.daily_set()
-    done = run_calibration(fx.daily_intervals(spark, d), fx.capacities(spark, policies), policies.max_lookback)
+    history = materialize(fx.daily_intervals(spark, d), "intervals")
+    done = run_calibration(history, fx.capacities(spark, policies), policies.max_lookback)
     return done.report.select(
         "capacity_key", "days_of_history", "total_intervals", "would_alert", "would_throttle", "would_kill",
         "suggested_alert", "suggested_throttle", "suggested_kill", "suggested_min_cu", joined("noisy_items"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.robust import nearest_index
 
-BINS_PER_OCTAVE = 4096
+BINS_PER_OCTAVE = 256
 _EXPONENT_SPAN = 1100 * BINS_PER_OCTAVE
 FINE_BINS = 4096
 
@@ -26,46 +26,44 @@ def select_ranks(
     """The values at given zero-based ranks of each group's ascending order, plus the count `n`.
 
     `ranks` maps a result column to a function from the group's count to the rank. No group is
-    sorted or collected as a whole: equal values are counted first (map-side), a histogram over
-    monotone bins finds the bin holding each rank, that bin is split once more, and only the
-    distinct values of the last small bin are ranked. Exact for any distribution.
+    sorted or collected as a whole. A first pass counts each group's values in monotone bins, with
+    map-side combine, which tells the bin each rank falls into. A second pass keeps only values of
+    those bins and counts equal ones; every bin is split once more, and just the distinct values of
+    a last small bin are ranked. Exact for any distribution. `df` is read twice: write it out
+    first if it is costly to compute.
     """
-    counted = (
+    binned = (
         df.select(*keys, F.col(value).cast("double").alias("_v"))
         .dropna()
         .withColumn("_bin", _log_bin(F.col("_v")))
-        .groupBy(*keys, "_bin", "_v")
-        .agg(F.count("*").alias("_n"))
     )
-    coarse = _cumulate(counted.groupBy(*keys, "_bin").agg(_sum_n(), *_range()), keys, ["_bin"])
-    total = F.sum("_n").over(Window.partitionBy(*keys))
+    histogram = binned.groupBy(*keys, "_bin").agg(
+        F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+    )
     wanted = F.array(*[F.struct(F.lit(n).alias("name"), f(F.col("n")).alias("rank")) for n, f in ranks.items()])
+    rank = F.col("_want.rank")
     targets = (
-        coarse.withColumn("n", total)
+        _cumulate(histogram, keys, "_bin")
+        .withColumn("n", F.sum("_n").over(Window.partitionBy(*keys)))
         .withColumn("_want", F.explode(wanted))
-        .filter((F.col("_want.rank") >= F.col("_below")) & (F.col("_want.rank") < F.col("_upto")))
+        .filter((rank >= F.col("_below")) & (rank < F.col("_upto")))
         .select(
-            *keys,
-            "_bin",
-            "n",
-            "_lo",
-            "_hi",
-            F.col("_want.name").alias("_name"),
-            (F.col("_want.rank") - F.col("_below")).alias("_left"),
+            *keys, "_bin", "n", "_lo", "_hi", F.col("_want.name").alias("_name"), (rank - F.col("_below")).alias("_left")
         )
     )
+    named = [*keys, "_name"]
     share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    inside = counted.join(targets, [*keys, "_bin"]).withColumn(
-        "_fine", F.when(F.col("_hi") > F.col("_lo"), F.floor(share * FINE_BINS)).otherwise(F.lit(0))
+    fine = F.when(F.col("_hi") > F.col("_lo"), F.floor(share * FINE_BINS)).otherwise(F.lit(0))
+    inside = (
+        binned.join(targets, [*keys, "_bin"])
+        .groupBy(*named, "n", "_left", fine.alias("_fine"), "_v")
+        .agg(F.count("*").alias("_n"))
     )
-    named = [*keys, "_name"]
-    fine = _cumulate(inside.groupBy(*named, "_fine").agg(_sum_n(), F.first("_left").alias("_left")), named, ["_fine"])
-    last = fine.filter((F.col("_left") >= F.col("_below")) & (F.col("_left") < F.col("_upto"))).select(
+    split = inside.groupBy(*named, "_left", "_fine").agg(F.sum("_n").alias("_n"))
+    last = _holding(_cumulate(split, named, "_fine"), "_left").select(
         *named, "_fine", (F.col("_left") - F.col("_below")).alias("_rest")
     )
-    exact = _cumulate(inside.join(last, [*named, "_fine"]), named, ["_v"]).filter(
-        (F.col("_rest") >= F.col("_below")) & (F.col("_rest") < F.col("_upto"))
-    )
+    exact = _holding(_cumulate(inside.join(last, [*named, "_fine"]), named, "_v"), "_rest")
     columns = [F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks]
     return exact.groupBy(*keys).agg(F.first("n").alias("n"), *columns)
 
@@ -76,16 +74,12 @@ def percentile_nearest(df: DataFrame, keys: list[str], value: str, quantiles: di
     return select_ranks(df, keys, value, ranks)
 
 
-def _sum_n() -> Column:
-    return F.sum("_n").alias("_n")
-
+def _cumulate(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Running count in order: `_below` before each row and `_upto` with it."""
+    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_below", F.col("_upto") - F.col("_n"))
 
-def _range() -> tuple[Column, Column]:
-    return F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
 
-
-def _cumulate(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_upto", F.sum("_n").over(upto)).withColumn(
-        "_below", F.col("_upto") - F.col("_n")
-    )
+def _holding(df: DataFrame, rank: str) -> DataFrame:
+    """The rows whose share of the running count holds the rank."""
+    return df.filter((F.col(rank) >= F.col("_below")) & (F.col(rank) < F.col("_upto")))
