@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cadence import is_comparable, normalize
-from ..functions.calendar import bucket_key, calendar_parts, local_clock, minutes_between
+from ..functions.calendar import bucket_key, calendar_parts, local_clock, minutes_between, naive
 from ..functions.robust import mean_of, median_of, quantile_of, trim_top
 from ..functions.tiers import ALERT, NONE, is_suppressed, tier_label, trustworthy
 from ..operators import baselines as bl
@@ -518,7 +518,7 @@ def suppressed_flag(spark, d):
 
 @query
 def previous_snapshot(spark, d):
-    newest = sn.previous_snapshot(fx.snapshots(spark, d), F.lit(dt.datetime(2024, 1, 30, 12)).cast("timestamp_ntz"))
+    newest = sn.previous_snapshot(fx.snapshots(spark, d), naive(dt.datetime(2024, 1, 30, 12)))
     return _show_snapshots(newest)
 
 

@@ -4,10 +4,12 @@ the stream wrote is read back. The results must be those of the batch operators.
 from __future__ import annotations
 
 import datetime as dt
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.calendar import naive
 from ..operators.intervals import derive_intervals, with_cadence
 from ..operators.report import first_cycles
 from ..operators.snapshots import dedup_latest_by_key
@@ -24,20 +26,42 @@ from .batch import _scored, _show_events, _show_intervals, _state, query
 HALFWAY = dt.datetime(2024, 1, 16)
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
+PARTITIONS_CONF = "spark.sql.shuffle.partitions"
 
 
 def _halves(rows: DataFrame) -> list[DataFrame]:
-    cut = F.lit(HALFWAY).cast("timestamp_ntz")
+    cut = naive(HALFWAY)
     return [rows.filter(F.col("ts") < cut), rows.filter(F.col("ts") >= cut)]
 
 
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the duration of a query."""
+    before = {name: spark.conf.get(name) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def _partitions(spark: SparkSession) -> str:
+    """State partitions are fixed for a stream's life; a local session needs only its cores."""
+    if spark.sparkContext.master.startswith("local"):
+        return str(spark.sparkContext.defaultParallelism)
+    return spark.conf.get(PARTITIONS_CONF)
+
+
 def _feed(spark: SparkSession, portions: list[DataFrame], schema, start) -> None:
     """Append each portion to a folder and let the stream catch up before the next."""
     folder = scratch_path(spark, "stream-input")
-    for portion in portions:
-        portion.select(*schema.names).write.mode("append").parquet(folder)
-        started = start(spark.readStream.schema(schema).parquet(folder))
-        started.awaitTermination()
+    with _settings(spark, {PARTITIONS_CONF: _partitions(spark), PROVIDER_CONF: ROCKSDB}):
+        for portion in portions:
+            portion.select(*schema.names).write.mode("append").parquet(folder)
+            started = start(spark.readStream.schema(schema).parquet(folder))
+            started.awaitTermination()
 
 
 @query
@@ -63,18 +87,13 @@ def usage_stream_cumulative(spark, d):
 @query
 def stream_intervals(spark, d):
     out = scratch_path(spark, "stream-output")
-    before = spark.conf.get(PROVIDER_CONF)
-    spark.conf.set(PROVIDER_CONF, ROCKSDB)
 
     def start(stream: DataFrame):
         writer = intervals_of_stream(stream).writeStream.outputMode("append").format("parquet")
         writer = writer.option("path", out).option("checkpointLocation", f"{out}-checkpoint")
         return writer.trigger(availableNow=True).start()
 
-    try:
-        _feed(spark, _halves(fx.snapshots(spark, d)), SNAPSHOTS, start)
-    finally:
-        spark.conf.set(PROVIDER_CONF, before)
+    _feed(spark, _halves(fx.snapshots(spark, d)), SNAPSHOTS, start)
     return _show_intervals(spark.read.schema(INTERVALS).parquet(out))
 
 

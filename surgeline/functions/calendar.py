@@ -6,12 +6,19 @@ that repeat or vanish at daylight-saving changes.
 
 from __future__ import annotations
 
+import datetime as dt
 from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def naive(moment: dt.datetime) -> Column:
+    """A TIMESTAMP_NTZ literal. `lit` of a datetime is an instant, which a cast would then move by
+    the session zone; text is taken as written."""
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def seconds_between(start: Column, end: Column) -> Column:
     """Via a day-time interval, which unlike `timestampdiff` never touches the session zone."""
     return (end - start).cast("interval second").cast("decimal(20,6)").cast("double")

@@ -10,6 +10,7 @@ still wrong of every capacity; the repetition ends, and its result is the sequen
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import seconds_between
+from ..functions.calendar import naive, seconds_between
 from ..schemas import CYCLE, ITEM
 from ..session import materialize
 from .detect import over_budget_cycles
@@ -85,7 +86,7 @@ def replay_cooldowns(rows: DataFrame, state: DataFrame | None = None) -> DataFra
     `over_budget`. An item has one row per cycle at most and is streamed through its task, so
     memory does not grow with its history.
     """
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    epoch = naive(dt.datetime(1970, 1, 1))
     timed = rows.select(
         *ITEM,
         "window_end",

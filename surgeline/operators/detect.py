@@ -123,16 +123,30 @@ def _hold_back(df: DataFrame, hit: Column, reason: Column) -> DataFrame:
     )
 
 
+def idle_cycles(rows: DataFrame) -> DataFrame:
+    """Cycles whose utilization lies below the floor of their capacity. Capacities without a floor
+    are left out before anything is summed."""
+    floor = F.col("policy")["guards"]["min_capacity_utilization_percent"]
+    floored = rows.filter(floor.isNotNull())
+    floors = floored.groupBy("capacity_key").agg(F.max(floor).alias("_floor"))
+    return (
+        utilization_pct(floored)
+        .join(floors, "capacity_key")
+        .filter(F.col("utilization") < F.col("_floor"))
+        .select(*CYCLE, F.lit(True).alias("idle"))
+    )
+
+
 def capacity_guard(assessed: DataFrame) -> DataFrame:
     """Below the utilization floor nobody is hurt, so nobody is acted on.
 
     The cycle's total is an aggregate joined back, not a window: a capacity with very many items
     is combined map-side and never gathered in one task.
     """
-    with_use = assessed.join(utilization_pct(assessed), CYCLE, "left")
+    with_use = assessed.join(idle_cycles(assessed), CYCLE, "left")
     floor = F.col("policy")["guards"]["min_capacity_utilization_percent"]
-    hit = (F.col("utilization") < floor) & (F.col("effective_tier") >= THROTTLE)
-    return _hold_back(with_use, hit, F.concat(F.lit(UTILIZATION_BELOW), floor.cast("string")))
+    hit = F.col("idle") & (F.col("effective_tier") >= THROTTLE)
+    return _hold_back(with_use, hit, F.concat(F.lit(UTILIZATION_BELOW), floor.cast("string"))).drop("idle")
 
 
 def dropped(suppressions: Column) -> Column:

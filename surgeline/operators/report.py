@@ -8,13 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.calendar import naive
 from ..functions.tiers import NONE
 from ..schemas import CYCLE, EVENTS
 
 
 def load_events(events: DataFrame, since: dt.datetime, capacity_key: str | None = None) -> DataFrame:
     """Events from a moment on, newest first."""
-    chosen = events.filter(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
+    chosen = events.filter(F.col("ts") >= naive(since))
     if capacity_key:
         chosen = chosen.filter(F.col("capacity_key") == capacity_key)
     return chosen.orderBy(F.desc("ts"))

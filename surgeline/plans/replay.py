@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.tiers import ALERT, NONE, THROTTLE, tier_label
 from ..operators.baselines import replay_baselines
 from ..operators.cooldown import replay_cooldowns
-from ..operators.detect import assess, cycle_holds, dropped, score, utilization_pct, with_streak
+from ..operators.detect import assess, cycle_holds, dropped, idle_cycles, score, with_streak
 from ..operators.intervals import derive_intervals, with_cadence
 from ..policy import policy_join
 from ..schemas import CYCLE, ITEM
@@ -52,16 +52,14 @@ def gate_history(
 
     anomalies = stored.filter(F.col("tier") > NONE)
     breaches = verdicts.filter(F.col("tier") > NONE).select(*ITEM, "window_end", "streak")
-    used = stored.select(*CYCLE, "cu_seconds", "minutes").join(
-        capacities.select("capacity_key", "cu_per_second"), "capacity_key"
-    )
+    used = policy_join(stored.select(*CYCLE, "cu_seconds", "minutes"), capacities)
     judged = (
         policy_join(anomalies.join(breaches, [*ITEM, "window_end"]), capacities)
-        .join(utilization_pct(used), CYCLE, "left")
+        .join(idle_cycles(used), CYCLE, "left")
         .withColumn("last_action_ts", F.lit(None).cast("timestamp_ntz"))
     )
     guards = F.col("policy")["guards"]
-    idle = F.coalesce(F.col("utilization") < guards["min_capacity_utilization_percent"], F.lit(False))
+    idle = F.coalesce("idle", F.lit(False))
     rows = assess(judged).filter(~dropped(F.col("suppressions"))).select(
         *ITEM,
         "window_end",
@@ -83,7 +81,7 @@ def gate_history(
     verdicts = verdicts.join(acted, [*ITEM, "window_end"], "left").withColumn(
         "acted", F.coalesce("_acted", F.lit(False))
     ).drop("_acted")
-    return Replay(stored, gated.drop("actionable", "over_budget"), verdicts)
+    return Replay(stored, gated.drop("idle", "actionable", "over_budget"), verdicts)
 
 
 def final_state(verdicts: DataFrame, state: DataFrame | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.calendar import calendar_parts
+from ..functions.calendar import calendar_parts, naive
 from ..operators.snapshots import dedup_latest_by_key, latest_per_item
 from ..schemas import ALERTS, EVENTS, INTERVALS, ITEM, ITEM_STATE, SNAPSHOTS, WHOLE, record
 
@@ -53,7 +53,7 @@ def merge_states(current: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def retained_snapshots(snapshots: DataFrame, cutoff: dt.datetime) -> DataFrame:
-    return snapshots.filter(F.col("ts") >= F.lit(cutoff).cast("timestamp_ntz"))
+    return snapshots.filter(F.col("ts") >= naive(cutoff))
 
 
 def expire_states(state: DataFrame, ttl_days: int) -> DataFrame:
@@ -164,7 +164,7 @@ class WatchTables:
         Whole days are deleted as partitions. What is left of the cutoff's own day is hidden by a
         recorded cutoff instead of rewriting the day.
         """
-        before = self.read_snapshots().filter(F.col("ts") < F.lit(cutoff).cast("timestamp_ntz"))
+        before = self.read_snapshots().filter(F.col("ts") < naive(cutoff))
         gone = before.count()
         version = max(self._versions("retention"), default=-1) + 1
         self.spark.createDataFrame([(cutoff,)], "cutoff timestamp_ntz").write.parquet(

@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
+from surgeline.functions.calendar import naive
 
 from surgeline.operators.intervals import derive_intervals, interval_pairing, intervals_from_pairs, with_cadence
 from surgeline.operators.snapshots import latest_per_item, previous_snapshot
@@ -74,7 +74,7 @@ def test_previous_snapshot_is_strictly_before(make):
     rows = make.snapshots(("a", T0, 100), ("a", T0 + QUARTER, 250))
 
     def at(minutes):
-        before = F.lit(T0 + dt.timedelta(minutes=minutes)).cast("timestamp_ntz")
+        before = naive(T0 + dt.timedelta(minutes=minutes))
         return [r.cu_seconds_today for r in previous_snapshot(rows, before).collect()]
 
     assert at(30) == [250.0] and at(10) == [100.0] and at(0) == [] and at(15) == [100.0]

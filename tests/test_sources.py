@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from surgeline.functions.calendar import local_clock, seconds_between
+from surgeline.functions.calendar import local_clock, naive, seconds_between
 from surgeline.sources.columns import (
     clean_snapshots,
     pick_alias_profile,
@@ -66,7 +66,7 @@ def test_cleaning(spark):
 
 
 def test_clock(spark):
-    utc = F.lit(dt.datetime(2026, 1, 15, 12, 30, 15, 900000)).cast("timestamp_ntz")
+    utc = naive(dt.datetime(2026, 1, 15, 12, 30, 15, 900000))
     row = spark.range(1).select(
         local_clock(utc, "America/Sao_Paulo").alias("local"),
         local_clock(utc, "Nowhere/Land").alias("unknown"),
@@ -85,3 +85,13 @@ def test_durations_ignore_the_session_zone(spark):
         assert spark.range(1).select(seconds_between(a, b).alias("s")).first().s == 7200.0
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_naive_literals_ignore_the_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        moment = dt.datetime(2026, 1, 15, 12, 30)
+        assert spark.range(1).select(naive(moment).alias("t")).first().t == moment
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
