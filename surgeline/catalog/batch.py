@@ -468,7 +468,7 @@ def classify(spark, d):
 @query
 def sku_capacity_(spark, d):
     """Total use of each capacity next to what its SKU offers per second."""
-    skus = sku_capacity(fx.policy_set().frame(spark)).select("capacity_key", "sku", "cu_per_second")
+    skus = sku_capacity(fx.capacities(spark).select("capacity_key", "sku"))
     used = fx.usage(spark, d).groupBy("capacity_key").agg(F.sum("cu_seconds").alias("_used"))
     return used.join(skus, "capacity_key").select("capacity_key", "sku", "cu_per_second", r6("_used", "cu_seconds"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import end_of_day, end_of_hour
 from ..operators.intervals import derive_intervals
-from ..policy import PolicySet, sku_capacity
+from ..policy import PolicySet
 from ..sources.usage import cumulative_snapshots
 
 # item: name, kind, workspace id, workspace name
@@ -93,7 +93,7 @@ def daily_set() -> PolicySet:
 
 
 def capacities(spark: SparkSession, policies: PolicySet | None = None) -> DataFrame:
-    return sku_capacity((policies or policy_set()).frame(spark))
+    return (policies or policy_set()).frame(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

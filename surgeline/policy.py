@@ -154,6 +154,11 @@ def policy_violations(policy: dict[str, Any]) -> list[str]:
     return found
 
 
+def cu_per_second(sku: str | None) -> float | None:
+    rate = SKU_CU_PER_SECOND.get((sku or "").upper())
+    return None if rate is None else float(rate)
+
+
 class PolicySet:
     """The monitored capacities with their effective policies.
 
@@ -180,6 +185,7 @@ class PolicySet:
                     "capacity_id": capacity["id"],
                     "enabled": capacity.get("enabled", True),
                     "sku": capacity.get("sku"),
+                    "cu_per_second": cu_per_second(capacity.get("sku")),
                     "policy": policy,
                 }
             )
@@ -216,9 +222,9 @@ def sku_dimension(spark: SparkSession) -> DataFrame:
 
 
 def sku_capacity(capacities: DataFrame) -> DataFrame:
-    """Add `cu_per_second`; NULL for a missing or unknown SKU."""
+    """Set `cu_per_second` of any frame with a `sku`; NULL for a missing or unknown one."""
     skus = sku_dimension(capacities.sparkSession).withColumnRenamed("sku", "_sku")
-    return capacities.join(skus, F.upper("sku") == F.col("_sku"), "left").drop("_sku")
+    return capacities.drop("cu_per_second").join(skus, F.upper("sku") == F.col("_sku"), "left").drop("_sku")
 
 
 def policy_join(df: DataFrame, capacities: DataFrame) -> DataFrame:

@@ -87,4 +87,6 @@ POLICY = record(
     notify=T.ArrayType(CHANNEL),
 )
 
-CAPACITIES = record(capacity_key=TEXT, capacity_id=TEXT, enabled=FLAG, sku=TEXT, policy=POLICY)
+CAPACITIES = record(
+    capacity_key=TEXT, capacity_id=TEXT, enabled=FLAG, sku=TEXT, cu_per_second=NUMBER, policy=POLICY
+)

@@ -6,7 +6,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from surgeline.policy import PolicySet, sku_capacity  # noqa: E402
+from surgeline.policy import PolicySet  # noqa: E402
 from surgeline.schemas import INTERVALS, ITEM_STATE, SNAPSHOTS  # noqa: E402
 from surgeline.session import local_session  # noqa: E402
 
@@ -59,7 +59,7 @@ class Maker:
         }
         for name, value in overrides.items():
             base[name] = base.get(name, {}) | value if isinstance(value, dict) else value
-        return sku_capacity(PolicySet([{"key": "F64", "id": "cap-1", "sku": sku, "overrides": base}]).frame(self.spark))
+        return PolicySet([{"key": "F64", "id": "cap-1", "sku": sku, "overrides": base}]).frame(self.spark)
 
     def state(self, *rows):
         """(item, streak, last_action_ts) triples."""

@@ -56,7 +56,10 @@ def test_keys_must_be_unique_and_present():
 
 def test_frame_and_sku(spark):
     policies = PolicySet([{"key": "a", "id": "1", "sku": "f64"}, {"key": "b", "id": "2", "sku": "Z9"}, {"key": "c", "id": "3"}])
-    rows = {r.capacity_key: r for r in sku_capacity(policies.frame(spark)).collect()}
+    frame = policies.frame(spark)
+    rows = {r.capacity_key: r for r in frame.collect()}
+    joined = {r.capacity_key: r.cu_per_second for r in sku_capacity(frame).collect()}
+    assert joined == {k: r.cu_per_second for k, r in rows.items()}
     assert {k: r.cu_per_second for k, r in rows.items()} == {"a": 64.0, "b": None, "c": None}
     assert rows["a"].policy.baseline.method == "median"
     assert policies.max_lookback == 7

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from surgeline.operators.detect import with_streak
 from surgeline.plans.replay import final_state, gate_history, score_history
 from surgeline.schemas import ITEM_STATE, record, TEXT, TIME, NUMBER, WHOLE
-from surgeline.policy import PolicySet, sku_capacity
+from surgeline.policy import PolicySet
 from pyspark.sql import types as T
 
 START = dt.datetime(2026, 7, 1)
@@ -73,7 +73,7 @@ def test_streak_cooldown_and_budget(spark, seed):
 
     guards = {"cooldown_minutes": cooldown, "consecutive_breaches": breaches, "max_actions_per_run": most, "min_cu_seconds": 0.0}
     policies = PolicySet([{"key": k, "id": k} for k in "XY"], {"mode": "enforce", "guards": guards})
-    caps = sku_capacity(policies.frame(spark))
+    caps = policies.frame(spark)
     data = [
         (c, i, i, "Dataset", "w", "W", ts, 10.0, 15.0, 10.0, float(tier), tier, (1.0, 9, 9, "median")) for c, i, ts, tier in rows
     ]
