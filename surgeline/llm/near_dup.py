@@ -11,8 +11,9 @@ Documents are linked when their sets of word shingles have a Jaccard similarity
 3. Pairs are verified on their full sets in three rounds, each only between documents that are not
    connected yet: a document with its smallest bucket centre, with the centres of all its buckets,
    and last every document outside the component of a bucket's centre with the bucket's other
-   components. Jaccard distance is a metric, so distances to the centre rule out most of the last
-   round's pairs exactly. After it no pair of a bucket is left open.
+   components. Two exact bounds rule out most of the last round's pairs: shingles found in no other
+   document still in question cannot be shared, and Jaccard distance is a metric, so that distances
+   to the centre bound those between members. After it no pair of a bucket is left open.
 4. Connected components come from repeated minimum labels with pointer jumping, on tables.
 
 A text without words (or null) is linked with nothing. Rows of one doc_id are one document: the
@@ -121,6 +122,24 @@ def verify_pairs(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) ->
     )
 
 
+def _shingle_batches(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches):
+            sets = shingle_sets(scan(batch.column(1), lower=True), shingle)
+            owners = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets])
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(flat.view(np.int64))], ["id", "shingle"])
+
+    return run
+
+
+def own_shingles(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(id, own): how many shingles of a text are in no other one of `texts`."""
+    rows = texts.select("id", "text").mapInArrow(_shingle_batches(shingle), "id long, shingle long")
+    single = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    return single.groupBy("id").agg(F.count("*").alias("own"))
+
+
 def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable. nodes has (id, component), a labelling that is
     already valid; links has (a, b). Work grows with the labels that links join."""
@@ -147,7 +166,7 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(nodes.join(renamed, "component", "left").select("id", F.coalesce("smaller", "component").alias("component")), "components")
 
 
-def _link(nodes: DataFrame, members: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
+def _link(nodes: DataFrame, members: DataFrame, sketched: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
     """Components of the candidates after the three rounds of verification."""
     linked = F.col("common") * 100 >= F.col("total") * percent
 
@@ -165,20 +184,31 @@ def _link(nodes: DataFrame, members: DataFrame, texts: DataFrame, percent: int,
 
     distance = F.lit(1.0) - F.col("common") / F.col("total")
     known = first.unionByName(second).select(F.col("a").alias("centre"), F.col("b").alias("id"), distance.alias("far"))
-    placed = labelled(labelled(members, "id", "own", nodes), "centre", "hub", nodes)
-    placed = materialize(placed.join(known, ["centre", "id"], "left").withColumn("outside", F.col("own") != F.col("hub")), "placed")
-    one = placed.where("outside").select("bucket", F.col("id").alias("a"), F.col("own").alias("own_a"), F.col("far").alias("far_a"), F.col("n_shingles").alias("n_a"))
-    open_buckets = one.select("bucket").distinct()
-    other = placed.where("id <> centre").join(open_buckets, "bucket", "left_semi").select(
-        "bucket", F.col("id").alias("b"), F.col("own").alias("own_b"), F.col("far").alias("far_b"), F.col("n_shingles").alias("n_b"), "outside"
-    )
+    placed = labelled(labelled(members, "id", "own_label", nodes), "centre", "hub", nodes)
+    placed = materialize(placed.join(known, ["centre", "id"], "left").withColumn("outside", F.col("own_label") != F.col("hub")), "placed")
+    open_buckets = placed.where("outside").select("bucket").distinct()
+    placed = materialize(placed.join(open_buckets, "bucket", "left_semi"), "placed")
+    own = own_shingles(texts.join(placed.select("id").distinct(), "id", "left_semi"), shingle)
+    free = F.col("n_shingles") - F.coalesce("own", F.lit(0))  # the most it can share with another one
+    placed = placed.join(own, "id", "left").withColumn("free", free).where(100 * F.col("free") >= percent * F.col("n_shingles"))
+    bands = sketched.select(F.col("doc_id").alias("id"), "bands").join(placed.select("id").distinct(), "id", "left_semi")
+    earlier = F.slice("bands", F.lit(1), F.col("band"))
+    placed = materialize(placed.join(bands, "id").withColumn("earlier", earlier).drop("bands"), "placed")
+
+    def side(frame: DataFrame, of: str) -> DataFrame:
+        names = {"id": of, "own_label": f"own_{of}", "far": f"far_{of}", "n_shingles": f"n_{of}", "free": f"free_{of}", "earlier": f"earlier_{of}"}
+        return frame.select("bucket", "outside", *[F.col(c).alias(n) for c, n in names.items()])
+
     slack = (100 - percent) / 100 + 1e-9
+    most = F.least("free_a", "free_b")
     possible = (
         (F.col("own_a") != F.col("own_b"))
         & (~F.col("outside") | (F.col("a") < F.col("b")))
-        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))
         & (F.col("far_a").isNull() | F.col("far_b").isNull() | (F.abs(F.col("far_a") - F.col("far_b")) <= slack))
+        & ~F.arrays_overlap("earlier_a", "earlier_b")  # a pair comes from the first band it shares
     )
+    one, other = side(placed.where("outside"), "a").drop("outside"), side(placed.where("id <> centre"), "b")
     pairs = one.join(other, "bucket").where(possible).select("a", "b").distinct()
     third = materialize(verify_pairs(pairs, texts, shingle), "verified")
     return connected_components(nodes, third.where(linked).select("a", "b"))
@@ -201,16 +231,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, shingle: int = SHI
     key = ["key_a", "key_b", "n_shingles"]
     classes = materialize(full.groupBy(*key).agg(F.min("doc_id").alias("id")), "classes")
     chosen = full.join(classes.select("id"), full.doc_id == classes.id, "left_semi")
-    buckets = chosen.select(F.col("doc_id").alias("id"), "n_shingles", F.explode("bands").alias("bucket"))
+    buckets = chosen.select(F.col("doc_id").alias("id"), "n_shingles", F.posexplode("bands").alias("band", "bucket"))
     crowded = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("centre")).where("size > 1").select("bucket", "centre")
-    members = materialize(buckets.join(crowded, "bucket").select("bucket", "centre", "id", "n_shingles"), "members")
+    members = materialize(buckets.join(crowded, "bucket").select("bucket", "band", "centre", "id", "n_shingles"), "members")
     candidates = materialize(members.select("id").distinct(), "candidates")
     count = candidates.count()
     nodes = candidates.select("id", F.col("id").alias("component"))
     if count:
         wanted = checked_broadcast(candidates, count)
         texts = materialize(docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi"), "texts")
-        nodes = _link(nodes, members, texts, percent, shingle)
+        nodes = _link(nodes, members, sketched, texts, percent, shingle)
 
     of_class = classes.join(nodes, "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
     linked = full.select("doc_id", *key).join(of_class, key).select("doc_id", "n_shingles", "component_id")
