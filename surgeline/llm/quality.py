@@ -214,7 +214,7 @@ def calibrate(counts: list, tolerance: float) -> float:
     rows = sorted(((r["bin"], r["good"], r["bad"]) for r in counts), reverse=True)
     allowed = tolerance * sum(r[1] for r in rows)
     above, edge = 0, 1.01
-    for (at, good, bad), below in zip(rows, [*[r[0] for r in rows[1:]], -1], strict=True):
+    for (at, good, bad), below in zip(rows, [r[0] for r in rows[1:]] + [-1] * bool(rows), strict=True):
         above += good
         if above > allowed:
             break

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import bpe, near_dup, pii, quality
+from . import bpe, html_text, language, licenses, near_dup, pii, quality, token_counts, urls
 from . import decontaminate as leaks
 from .common import table
 
@@ -19,6 +19,12 @@ def query(f):
     return f
 
 
+@query
+def op1_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a license notice, with the best window of each template."""
+    return licenses.find_licenses(table(spark, d, "documents"))
+
+
 @query
 def op2_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     """Rule statistics of every document with the base rule's and the forest's verdict."""
@@ -28,6 +34,19 @@ def op2_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return judged.select(*shown)
 
 
+@query
+def op3_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of every line of every document."""
+    return token_counts.count_tokens(table(spark, d, "documents"))
+
+
+@query
+def op4_url_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    judged = urls.judge_urls(table(spark, d, "pages"), urls.train())
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 @query
 def op5_minhash_near_dup(spark: SparkSession, d: str) -> DataFrame:
     """Component of near-duplicates of every document."""
@@ -91,3 +110,18 @@ def op7_bpe(spark: SparkSession, d: str) -> DataFrame:
 def op8_personal_data(spark: SparkSession, d: str) -> DataFrame:
     """Personal data of every document."""
     return pii.digests(pii.find_personal_data(table(spark, d, "documents")))
+
+
+@query
+def op9_language_id(spark: SparkSession, d: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table(spark, d, "documents")
+    found = language.predict_languages(docs, language.fit(docs))
+    return found.select("doc_id", F.expr(language.held_out()).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_html_text(spark: SparkSession, d: str) -> DataFrame:
+    """Main text of every page."""
+    found = html_text.extract_main_text(table(spark, d, "pages"), html_text.train())
+    return found.withColumn("n_chars", F.length("text").cast("long"))
