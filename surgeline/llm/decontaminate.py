@@ -134,7 +134,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     keys = listed.select("item_id", "n", "item_print", F.explode(block_values("item_print")).alias("at")).withColumn("mask", F.explode(masks_within(radius // BLOCKS)))
     keys = keys.select("item_id", "n", "item_print", F.col("at.k").alias("k"), F.col("at.value").bitwiseXOR(F.col("mask")).alias("value"))
     probes = cut.select("doc_id", "n", "start", "print", F.explode(block_values("print")).alias("at")).select("doc_id", "n", "start", "print", "at.k", "at.value")
-    near = probes.join(keys, ["n", "k", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
+    near = probes.join(keys.hint("merge"), ["n", "k", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
     near = near.select("doc_id", "start", "n", "item_id").distinct()
 
     sides = near.join(cut.select("doc_id", "start", "n", "shingles"), ["doc_id", "start", "n"])
