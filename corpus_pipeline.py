@@ -24,8 +24,7 @@ from surgeline.session import materialize
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*DOCUMENT_COLUMNS)
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    labelled = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    stats = materialize(quality.rule_statistics(labelled), "statistics")
+    stats = materialize(quality.rule_statistics(docs), "statistics")  # numbers; no text is moved
     return docs.where(quality.keeps(quality.fit(stats, labels)))
 
 
