@@ -156,7 +156,7 @@ def _show_verdicts(df: DataFrame) -> DataFrame:
 
 @query
 def daily_cumulative(spark: SparkSession, d: str) -> DataFrame:
-    return us.daily_cumulative(fx.usage(spark, d))
+    return us.daily_cumulative(fx.usage(spark, d)).withColumn("cu_seconds_today", F.round("cu_seconds_today", 2))
 
 
 @query
@@ -318,6 +318,7 @@ def prune_snapshots(spark, d):
     store = _tables(spark)
     store.write_snapshots(fx.snapshots(spark, d), 0)
     store.prune_snapshots(PRUNE_BEFORE)
+    store.prune_snapshots(PRUNE_BEFORE - dt.timedelta(days=3))  # an older cutoff brings nothing back
     return _show_snapshots(store.read_snapshots())
 
 
@@ -714,7 +715,7 @@ def events_by_tier(spark, d):
 def run_summary(spark, d):
     anomalies, results = _results(spark, d)
     taken = outbox.action_taken(results)
-    return report.run_summary(fx.snapshots(spark, d), _cadenced(spark, d), anomalies, taken)
+    return report.run_summary(fx.snapshots(spark, d), _cadenced(spark, d), anomalies, taken, fx.capacities(spark))
 
 
 @query
@@ -899,7 +900,7 @@ def rank_assessments(spark, d):
 
 @query
 def top_consumers(spark, d):
-    rows = us.daily_cumulative(fx.usage(spark, d))
+    rows = us.daily_cumulative(fx.usage(spark, d)).withColumn("cu_seconds_today", F.round("cu_seconds_today", 2))
     return sn.top_consumers(rows, ["capacity_key", "day"], 3).select("capacity_key", "day", "item_id", "cu_seconds_today", "rank")
 
 

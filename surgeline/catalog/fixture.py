@@ -138,8 +138,13 @@ def daily_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _rounded(readings: DataFrame) -> DataFrame:
+    """To the fixture's two decimals, so that sums in another order compare alike."""
+    return readings.withColumn("cu_seconds_today", F.round("cu_seconds_today", 2))
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cumulative_snapshots(usage(spark, sf_dir))
+    return _rounded(cumulative_snapshots(usage(spark, sf_dir)))
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +152,7 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cumulative_snapshots(daily_usage(spark, sf_dir), end_of_day(F.col("ts")))
+    return _rounded(cumulative_snapshots(daily_usage(spark, sf_dir), end_of_day(F.col("ts"))))
 
 
 def daily_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -580,7 +580,7 @@ ORACLE = {
     ),
     "unmatched_capacities": statement(
         USAGE,
-        "SELECT capacity_key, capacity_id FROM (VALUES ('C0', 'CAP-0'), ('C1', 'cap-1'), ('C2', 'cap-2'), ('C3', 'cap-3'), ('C4', 'cap-4')) "
+        "SELECT capacity_key, capacity_id FROM (VALUES ('C0', 'CAP-0'), ('C1', 'cap-1'), ('C2', 'cap-2'), ('C4', 'cap-4')) "
         "c(capacity_key, capacity_id) WHERE lower(capacity_id) NOT IN (SELECT lower(capacity_id) FROM usage)",
     ),
     "action_targets": statement(

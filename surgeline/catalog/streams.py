@@ -128,7 +128,7 @@ def bootstrap(spark, d):
     """Cycles in which no item had an earlier reading yet."""
     snapshots = fx.snapshots(spark, d)
     cadenced = with_cadence(policy_join(derive_intervals(snapshots), fx.capacities(spark)))
-    return first_cycles(snapshots, cadenced)
+    return first_cycles(snapshots, cadenced, fx.capacities(spark))
 
 
 @query

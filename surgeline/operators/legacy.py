@@ -17,7 +17,7 @@ LEVEL_ALERT = "T1_ALERT"
 LEVEL_BACKGROUND = "T2_KILL_BG"
 LEVEL_SESSION = "T3_KILL_SESSION"
 LEVEL_ACTIONS = {LEVEL_ALERT: "alert", LEVEL_BACKGROUND: "cancel_background", LEVEL_SESSION: "cancel_sessions"}
-SESSION_KINDS = [k for k in DATASET_KINDS if k != "Model"]
+SESSION_KINDS = ["Dataset", "SemanticModel"]
 
 
 def legacy_reset(current: Column, previous: Column) -> Column:

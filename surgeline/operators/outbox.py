@@ -169,7 +169,12 @@ def event_projection(with_results_: DataFrame, run_id: Column) -> DataFrame:
 
 
 def alert_text(row_results: str = "results") -> Column:
-    """The message of an anomaly. Numbers round half to even, with thousands separators."""
+    """The message of an anomaly. Numbers round half to even, with thousands separators; what is
+    unknown stays blank instead of taking its line along."""
+
+    def line(*parts) -> Column:
+        return F.concat(*[F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("")) for p in parts])
+
     icon = F.lit(OTHER_ICON)
     for tier, symbol in TIER_ICONS.items():
         icon = F.when(F.col("tier") == tier, symbol).otherwise(icon)
@@ -186,32 +191,32 @@ def alert_text(row_results: str = "results") -> Column:
     )
     # The wording of the message.
     lines = F.array(
-        F.concat(
+        line(
             icon, F.lit(" **["), "capacity_key", F.lit("]** `"), "item_name", F.lit("` ("), "item_kind",
             F.lit(") a **"), ratio, F.lit("** da baseline"),
         ),
-        F.concat(
+        line(
             F.lit("Consumo: "), F.format_number("cu_seconds", 0), F.lit(" CU·s em "), minutes,
             F.lit(" min | baseline: "), F.format_number(normal, 0), F.lit(" CU·s | workspace: "), place,
         ),
-        F.concat(
+        line(
             F.lit("Detectado: `"), tier_label(F.col("tier")), F.lit("` → aplicado: `"),
             tier_label(F.col("effective_tier")), F.lit("` (modo `"), F.col("policy")["mode"], F.lit("`)"),
         ),
         F.when(F.size("suppressions") > 0, F.concat(F.lit("Contido por: "), F.array_join("suppressions", ", "))),
         F.when(F.size(done) > 0, F.concat(F.lit("Ações: "), F.array_join(done, " | "))),
-        F.concat(F.lit("Item ID: `"), "item_id", F.lit("`")),
+        line(F.lit("Item ID: `"), "item_id", F.lit("`")),
     )
     return F.array_join(F.array_compact(lines), "\n")
 
 
 def min_tier_filter(anomalies: DataFrame) -> DataFrame:
-    """A row per anomaly and channel that wants its detected tier."""
+    """A row per anomaly and channel that wants its detected tier; the kind `none` sends nothing."""
     channel = F.col("_channel")
     return (
         anomalies.filter(F.col("tier") > NONE)
         .withColumn("_channel", F.explode(F.col("policy")["notify"]))
-        .filter(F.col("tier") >= tier_rank(channel["min_tier"]))
+        .filter((channel["kind"] != "none") & (F.col("tier") >= tier_rank(channel["min_tier"])))
         .withColumn("channel", channel["kind"])
         .drop("_channel")
     )

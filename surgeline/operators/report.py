@@ -55,16 +55,16 @@ def would_counts(ratios: DataFrame) -> DataFrame:
     )
 
 
-def run_summary(snapshots: DataFrame, intervals: DataFrame, anomalies: DataFrame, results: DataFrame) -> DataFrame:
+def run_summary(snapshots: DataFrame, intervals: DataFrame, anomalies: DataFrame, results: DataFrame, capacities: DataFrame) -> DataFrame:
     """A row per capacity and cycle: items scanned, anomalies, actions taken, skipped intervals,
     and whether the cycle had nothing to compare with yet.
 
     `intervals` carry `comparable`; `results` say per anomaly whether an action was taken. All
-    four are counted in one aggregation.
+    four are counted in one aggregation. Only enabled capacities have cycles.
     """
     one = F.lit(1)
     parts = [
-        _counted(snapshots.withColumnRenamed("ts", "window_end"), scanned=one),
+        _counted(_enabled_only(snapshots, capacities).withColumnRenamed("ts", "window_end"), scanned=one),
         _counted(intervals, intervals=one, skipped=~F.col("comparable")),
         _counted(anomalies.filter(F.col("tier") > NONE), anomalies=one),
         _counted(results, taken=F.col("action_taken")),
@@ -78,6 +78,10 @@ def run_summary(snapshots: DataFrame, intervals: DataFrame, anomalies: DataFrame
     )
 
 
+def _enabled_only(df: DataFrame, capacities: DataFrame) -> DataFrame:
+    return df.join(capacities.filter("enabled").select("capacity_key"), "capacity_key", "left_semi")
+
+
 COUNTERS = ["scanned", "intervals", "skipped", "anomalies", "taken"]
 
 
@@ -85,9 +89,9 @@ def _counted(df: DataFrame, **values: Column) -> DataFrame:
     return df.select(*CYCLE, *[values.get(n, F.lit(0)).cast("int").alias(n) for n in COUNTERS])
 
 
-def first_cycles(snapshots: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Cycles of a capacity in which no item had an earlier reading to compare with."""
-    scanned = _counted(snapshots.withColumnRenamed("ts", "window_end"), scanned=F.lit(1))
+def first_cycles(snapshots: DataFrame, intervals: DataFrame, capacities: DataFrame) -> DataFrame:
+    """Cycles of an enabled capacity in which no item had an earlier reading to compare with."""
+    scanned = _counted(_enabled_only(snapshots, capacities).withColumnRenamed("ts", "window_end"), scanned=F.lit(1))
     both = scanned.unionByName(_counted(intervals, intervals=F.lit(1)))
     sums = both.groupBy(*CYCLE).agg(F.sum("scanned").alias("items_scanned"), F.sum("intervals").alias("_n"))
     return sums.filter(F.col("_n") == 0).drop("_n")

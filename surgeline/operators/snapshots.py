@@ -68,6 +68,6 @@ def top_consumers(snapshots: DataFrame, by: list[str], limit: int) -> DataFrame:
 
 
 def unmatched_capacities(capacities: DataFrame, visible: DataFrame) -> DataFrame:
-    """Configured capacities whose id is not among the visible ones, ignoring case."""
+    """Enabled capacities whose id is not among the visible ones, ignoring case."""
     seen = visible.select(F.lower("capacity_id").alias("_id")).distinct()
-    return capacities.join(seen, F.lower("capacity_id") == F.col("_id"), "left_anti")
+    return capacities.filter("enabled").join(seen, F.lower("capacity_id") == F.col("_id"), "left_anti")

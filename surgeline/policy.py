@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import copy
+import re
 from typing import Any
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -74,8 +76,9 @@ SKU_CU_PER_SECOND = {
     "EM1": 1, "EM2": 2, "EM3": 4,
 }
 
+MAY_BE_NULL = ("guards.min_capacity_utilization_percent",)
+
 MAX_BROADCAST_BYTES = 8 << 20
-MAX_LOOKBACK_DAYS = BOUNDS["baseline.lookback_days"][1]
 
 
 class PolicyError(ValueError):
@@ -105,6 +108,29 @@ def resolve_policy(defaults: dict[str, Any] | None, overrides: dict[str, Any] |
     return policy
 
 
+def _is_number(value: Any) -> bool:
+    return isinstance(value, (int, float)) and not isinstance(value, bool) and value == value
+
+
+def compiles(pattern: Any) -> bool:
+    """Whether the pattern can be used in a name test. Java decides where a session runs, as it is
+    Java that will match; constructs Java lacks are refused there."""
+    if not isinstance(pattern, str):
+        return False
+    session = SparkSession.getActiveSession()
+    if session is None:
+        try:
+            re.compile(pattern)
+        except re.error:
+            return False
+        return True
+    try:
+        session.sparkContext._jvm.java.util.regex.Pattern.compile("(?iu)" + pattern)
+    except Py4JJavaError:
+        return False
+    return True
+
+
 def policy_violations(policy: dict[str, Any]) -> list[str]:
     """Every rule the policy breaks, in words."""
     found = []
@@ -117,9 +143,11 @@ def policy_violations(policy: dict[str, Any]) -> list[str]:
 
     for path, (low, high) in BOUNDS.items():
         value = setting(path)
-        if value is None:
+        if value is None and path in MAY_BE_NULL:
             continue
-        if value < low or (high is not None and value > high):
+        if not _is_number(value):
+            found.append(f"{path} must be a number, not {value!r}")
+        elif value < low or (high is not None and value > high):
             found.append(f"{path}={value} is outside {low}..{'' if high is None else high}")
     for path, allowed in {
         "mode": MODES,
@@ -128,21 +156,26 @@ def policy_violations(policy: dict[str, Any]) -> list[str]:
     }.items():
         if setting(path) not in allowed:
             found.append(f"{path} must be one of {allowed}")
+    found += [f"protect.name_patterns: {p!r} is no pattern" for p in policy["protect"]["name_patterns"] or () if not compiles(p)]
     steps = policy["thresholds"]
+    if not all(_is_number(v) for v in steps.values()):
+        return [*found, "thresholds must be numbers"]
     if min(steps.values()) <= 1.0:
         found.append("thresholds must each exceed 1")
     if not steps["alert"] <= steps["throttle"] <= steps["kill"]:
         found.append("thresholds must rise: alert <= throttle <= kill")
-    if policy["guards"]["max_interval_stretch"] <= 1.0:
+    stretch = policy["guards"]["max_interval_stretch"]
+    if not _is_number(stretch) or stretch <= 1.0:
         found.append("guards.max_interval_stretch must exceed 1")
     for tier, names in policy["actions"].items():
-        found += [f"actions.{tier}: unknown action '{n}'" for n in names if n not in ACTIONS]
+        found += [f"actions.{tier}: unknown action '{n}'" for n in names or () if n not in ACTIONS]
     for window in policy["freeze_windows"]:
         if "name" not in window:
             found.append("freeze window without a name")
-        if any(d < 0 or d > 6 for d in window["days"]):
+        if not isinstance(window["days"], (list, tuple)) or not all(_is_number(d) and 0 <= d <= 6 for d in window["days"]):
             found.append("freeze window days must be 0..6, Monday first")
-        if not 0 <= window["start_hour"] <= 23 or not 1 <= window["end_hour"] <= 24:
+        hours = window["start_hour"], window["end_hour"]
+        if not all(map(_is_number, hours)) or not 0 <= hours[0] <= 23 or not 1 <= hours[1] <= 24:
             found.append("freeze window hours must be 0..23 and 1..24")
     for channel in policy["notify"]:
         if channel.get("kind") not in CHANNELS:
@@ -246,13 +279,16 @@ def validate_policies(capacities: DataFrame) -> DataFrame:
     rules = {}
     for path, (low, high) in BOUNDS.items():
         outside = setting(path) < low
-        rules[path] = outside if high is None else outside | (setting(path) > high)
+        outside = outside if high is None else outside | (setting(path) > high)
+        rules[path] = outside if path in MAY_BE_NULL else F.coalesce(outside, F.lit(True))
+    for path, allowed in {"mode": MODES, "baseline.bucket": BUCKETS, "baseline.method": METHODS}.items():
+        rules[path] = ~F.coalesce(setting(path).isin(*allowed), F.lit(False))
     steps = p["thresholds"]
-    rules["thresholds"] = (
+    rules["thresholds"] = steps["alert"].isNull() | steps["throttle"].isNull() | steps["kill"].isNull() | (
         (F.least(steps["alert"], steps["throttle"], steps["kill"]) <= 1.0)
         | (steps["alert"] > steps["throttle"])
         | (steps["throttle"] > steps["kill"])
     )
-    rules["guards.max_interval_stretch"] = setting("guards.max_interval_stretch") <= 1.0
+    rules["guards.max_interval_stretch"] = F.coalesce(setting("guards.max_interval_stretch") <= 1.0, F.lit(True))
     broken = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules.items()]))
     return capacities.select("capacity_key", F.explode(broken).alias("rule"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,8 +93,7 @@ class WatchTables:
     def read_snapshots(self) -> DataFrame:
         """Last write per item and time wins."""
         rows = self._read("snapshots", _stored(SNAPSHOTS))
-        cutoff = self._retention()
-        kept = rows if cutoff is None else retained_snapshots(rows, cutoff).filter(F.col("day") >= cutoff.date())
+        kept = rows.filter(self._not_pruned())
         return dedup_latest_by_key(kept, [*ITEM, "ts"], [F.desc("batch")]).select(*SNAPSHOTS.names)
 
     def write_intervals(self, intervals: DataFrame, batch: int = 0) -> None:
@@ -162,25 +161,38 @@ class WatchTables:
         """Drop snapshots before a moment; intervals and events stay. Returns how many went.
 
         Whole days are deleted as partitions. What is left of the cutoff's own day is hidden by a
-        recorded cutoff instead of rewriting the day.
+        recorded cutoff instead of rewriting the day. The record holds the last batch it applies
+        to, so rows written later stay, and earlier records stay in force beside it.
         """
-        before = self.read_snapshots().filter(F.col("ts") < naive(cutoff))
-        gone = before.count()
-        version = max(self._versions("retention"), default=-1) + 1
-        self.spark.createDataFrame([(cutoff,)], "cutoff timestamp_ntz").write.parquet(
-            f"{self.root}/retention/version={version}"
-        )
+        rows = self._read("snapshots", _stored(SNAPSHOTS)).filter(F.col("day") <= F.lit(cutoff.date()))
+        before = rows.filter(self._not_pruned() & (F.col("ts") < naive(cutoff)))
+        keys = before.groupBy(*ITEM, "ts").agg(F.max("batch").alias("batch"))
+        found = keys.agg(F.count("*").alias("gone"), F.max("batch").alias("batch")).first()
+        if found["gone"]:
+            records = self._retention()
+            kept = [r for r in records if r[0] > cutoff or r[1] > found["batch"]]
+            version = max(self._versions("retention"), default=-1) + 1
+            self.spark.createDataFrame([*kept, (cutoff, found["batch"])], "cutoff timestamp_ntz, batch long").write.parquet(
+                f"{self.root}/retention/version={version}"
+            )
         for name in self._children("snapshots"):
             if name.startswith("day=") and name[4:] < cutoff.date().isoformat():
                 self._fs("snapshots", name)[0].delete(self._fs("snapshots", name)[1], True)
-        return gone
+        return found["gone"]
 
-    def _retention(self) -> dt.datetime | None:
+    def _retention(self) -> list[tuple[dt.datetime, int]]:
+        """Cutoffs with the last batch each applies to; one that another covers is not kept."""
         versions = self._versions("retention")
         if not versions:
-            return None
+            return []
         path = f"{self.root}/retention/version={max(versions)}"
-        return self.spark.read.parquet(path).first()["cutoff"]
+        return [(r["cutoff"], r["batch"]) for r in self.spark.read.parquet(path).collect()]
+
+    def _not_pruned(self) -> Column:
+        hidden = F.lit(False)
+        for cutoff, batch in self._retention():
+            hidden = hidden | ((F.col("ts") < naive(cutoff)) & (F.col("batch") <= batch))
+        return ~hidden
 
     # -- folders
 

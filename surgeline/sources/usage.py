@@ -11,6 +11,7 @@ from ..functions.calendar import end_of_hour
 from ..schemas import ATTRIBUTES, ITEM
 
 IDENTITY = ["capacity_key", "capacity_id", "item_id", *ATTRIBUTES]
+DESCRIBED = [c for c in IDENTITY if c not in ITEM]
 
 
 def semi_capacity(usage: DataFrame, capacities: DataFrame) -> DataFrame:
@@ -18,32 +19,38 @@ def semi_capacity(usage: DataFrame, capacities: DataFrame) -> DataFrame:
     return usage.join(capacities.select("capacity_id"), "capacity_id", "left_semi")
 
 
+def _summed(usage: DataFrame, **keys: Column) -> DataFrame:
+    """Use per item and key, with the newest description; combined before the shuffle."""
+    sums = usage.groupBy(*ITEM, *[c.alias(f"_{n}") for n, c in keys.items()]).agg(
+        F.max(F.struct("ts", *DESCRIBED)).alias("_newest"), F.sum("cu_seconds").alias("_used")
+    )
+    return sums.select(*ITEM, *[F.col(f"_newest.{c}").alias(c) for c in DESCRIBED], *[F.col(f"_{n}").alias(n) for n in keys], "_used")
+
+
 def daily_cumulative(usage: DataFrame, on: dt.date | None = None) -> DataFrame:
     """Consumption per item and day, for one day or all. Partial sums run before the shuffle, so
     an item holding most of the log costs one row per map task."""
     day = F.to_date("ts")
     chosen = usage if on is None else usage.filter(day == F.lit(on))
-    return chosen.groupBy(*IDENTITY, day.alias("day")).agg(
-        F.round(F.sum("cu_seconds"), 2).alias("cu_seconds_today")
-    )
+    return _summed(chosen, day=day).select(*IDENTITY, "day", F.col("_used").alias("cu_seconds_today"))
 
 
 def cumulative_snapshots(usage: DataFrame, reading_time: Column | None = None) -> DataFrame:
     """The reading every cycle of the log would have taken: running sum since midnight.
 
     The log is first summed to one row per item and reading time, which both combines map-side
-    and makes (item, ts) unique. The running sum is then partitioned by item and day, so a
-    group never exceeds one day's readings.
+    and makes (item, ts) unique, also when an item is renamed between two readings. The running sum
+    is then partitioned by item and day, so a group never exceeds one day's readings.
     """
     at = end_of_hour(F.col("ts")) if reading_time is None else reading_time
-    per_reading = usage.groupBy(*IDENTITY, at.alias("ts")).agg(F.sum("cu_seconds").alias("_used"))
     so_far = (
         Window.partitionBy(*ITEM, "_day")
         .orderBy("ts")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        per_reading.withColumn("_day", F.to_date("ts"))
-        .withColumn("cu_seconds_today", F.round(F.sum("_used").over(so_far), 2))
+        _summed(usage, ts=at)
+        .withColumn("_day", F.to_date("ts"))
+        .withColumn("cu_seconds_today", F.sum("_used").over(so_far))
         .select("ts", *IDENTITY, "cu_seconds_today")
     )
