@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import text_chunks, thinned
 
 BUCKETS = 1 << 17
 SAMPLE = 1000
@@ -195,7 +195,8 @@ def held_out() -> str:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Crf:
     """Learns from documents that are not held out and have a text, an id and a language."""
     usable = docs.select("doc_id", "text", "lang").where(f"lang is not null and text is not null and doc_id is not null and not ({held_out()})")
-    chosen = usable.select("text", "lang").orderBy(F.xxhash64("text"), "lang", "text").limit(sample).collect()
+    part = thinned(usable.select("text", "lang"), F.xxhash64("text"), sample).distinct()
+    chosen = part.orderBy(F.xxhash64("text"), "lang", "text").limit(sample).collect()
     return train([(r["text"], r["lang"]) for r in chosen])
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import text_chunks, thinned
 from .wordscan import Scan, scan, windows
 
 TREES, SUBSAMPLE, SAMPLE = 100, 256, 4096
@@ -198,9 +198,9 @@ def fit(stats: DataFrame, labels: DataFrame, tolerance: float = TOLERANCE) -> Fo
     quality = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = stats.join(quality, "doc_id").where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
     order = F.xxhash64("doc_id", *STATISTICS)
-    sample = known.orderBy(order).limit(SAMPLE).toPandas()
+    sample = thinned(known, order, SAMPLE).orderBy(order).limit(SAMPLE).toPandas()
     if not len(sample):
-        sample = stats.where("n_words > 0").orderBy(order).limit(SAMPLE).toPandas()
+        sample = thinned(stats.where("n_words > 0"), order, SAMPLE).orderBy(order).limit(SAMPLE).toPandas()
     forest = grow(features({c: sample[c].to_numpy() for c in STATISTICS}))
     binned = F.floor(score_column(forest) * BINS).cast("int").alias("bin")
     counts = known.select("quality", binned).groupBy("bin").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
