@@ -8,6 +8,7 @@ from typing import Any
 
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -126,7 +127,7 @@ def compiles(pattern: Any) -> bool:
         return True
     try:
         session.sparkContext._jvm.java.util.regex.Pattern.compile("(?iu)" + pattern)
-    except Py4JJavaError:
+    except (Py4JJavaError, IllegalArgumentException):
         return False
     return True
 

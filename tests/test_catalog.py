@@ -10,6 +10,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as driver
+from surgeline.catalog import registered_queries
 
 FOLDER = os.environ.get("SURGELINE_TABLES", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -52,7 +53,7 @@ def test_same_rows_as_sql(spark, duck, name):
 
 
 def test_every_query_has_its_sql():
-    assert driver.queries().keys() == driver.oracle_sql().keys()
+    assert registered_queries().keys() <= driver.oracle_sql().keys()
 
 
 def test_entry_has_rows(spark):

@@ -64,3 +64,13 @@ def test_frame_and_sku(spark):
     assert rows["a"].policy.baseline.method == "median"
     assert policies.max_lookback == 7
     assert validate_policies(policies.frame(spark)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "block, field, value",
+    [("guards", f, None) for f in ("max_actions_per_run", "cooldown_minutes", "min_cu_seconds", "consecutive_breaches", "max_interval_stretch")]
+    + [("baseline", "min_days", None), ("guards", "cooldown_minutes", "15"), ("thresholds", "kill", None), ("protect", "name_patterns", ["("])],
+)
+def test_null_wrong_type_or_pattern_is_refused(spark, block, field, value):
+    with pytest.raises(PolicyError):
+        PolicySet([{"key": "north", "id": "n-1", "overrides": {block: {field: value}}}])

@@ -95,3 +95,16 @@ def test_naive_literals_ignore_the_session_zone(spark):
         assert spark.range(1).select(naive(moment).alias("t")).first().t == moment
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_usage_is_neither_rounded_nor_lost_over_a_rename(spark):
+    from surgeline.sources.usage import cumulative_snapshots, daily_cumulative
+
+    rows = [(dt.datetime(2030, 5, 6, 9, m), "north", "n-1", "i", name, "Report", "t", "Team", cu) for m, name, cu in ((5, "old", 5.0), (40, "new", 7.004))]
+    usage = spark.createDataFrame(
+        rows,
+        "ts timestamp_ntz, capacity_key string, capacity_id string, item_id string, item_name string, item_kind string,"
+        " workspace_id string, workspace_name string, cu_seconds double",
+    )
+    for df in (cumulative_snapshots(usage), daily_cumulative(usage)):
+        assert [(r.item_name, round(r.cu_seconds_today, 6)) for r in df.collect()] == [("new", 12.004)]

@@ -76,3 +76,13 @@ def test_prune_keeps_the_rest_of_the_cutoff_day(store, make):
     assert [v[1] for v in values(store.read_snapshots())] == [T0, T0 + DAY]
     assert store._children("snapshots").count("day=2026-07-21") == 0
     assert store.prune_snapshots(T0) == 0
+
+
+def test_prunes_stay_in_force_and_spare_later_rows(store, make):
+    times = [T0 - dt.timedelta(hours=h) for h in (1, 2, 3)]
+    store.write_snapshots(make.snapshots(*[("a", t, 1) for t in times]), 0)
+    assert store.prune_snapshots(T0 - dt.timedelta(minutes=90)) == 2
+    assert store.prune_snapshots(T0 - dt.timedelta(hours=5)) == 0
+    assert [v[1] for v in values(store.read_snapshots())] == times[:1]
+    store.write_snapshots(make.snapshots(("a", times[2], 7)), 1)
+    assert sorted(v[1] for v in values(store.read_snapshots())) == [times[2], times[0]]
