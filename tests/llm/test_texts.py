@@ -1,5 +1,6 @@
 """Operators that judge each row by itself, against plain Python."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -97,6 +98,10 @@ def test_further_kinds_and_redaction(spark):
     assert pii.redact_text("to a@b.co now") == "to [email] now"
     df = documents(spark, [(1, text), *ODD])
     assert pii.digests(pii.find_personal_data(df)).count() == 1 + len(ODD)
+    row = pii.digests(pii.find_personal_data(documents(spark, [(1, text), (2, None)]))).orderBy("doc_id").collect()
+    assert [row[0][f"n_{k}"] for k in pii.BASE_KINDS] == [sum(s[0] == k for s in base_spans(text)) for k in pii.BASE_KINDS] == [2, 0, 1, 0] and row[1].spans == "" and row[1].n_email == 0
+    joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base_spans(text))
+    assert row[0].base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and row[0].spans.startswith(joined + ",account:")
     cleaned = {r.doc_id: r.text for r in df.withColumn("text", pii.redacted("text")).collect()}
     assert "4111" not in cleaned[1] and cleaned[900] is None
 
