@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import text_chunks
 
 LONG = 48
-CACHE_WORDS = 400_000  # bounds memory; two generations of so many words are held
+CACHE_WORDS = 100_000  # bounds memory; two generations of so many words are held
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NO_RANK = 1 << 60
 
@@ -73,6 +73,10 @@ class Encoder(dict):
         self.words = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True)) + ")").split if self.specials else None
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
     def __missing__(self, word: str) -> tuple[int, ...]:
         ids = self.older.get(word)
         if ids is None:
@@ -138,9 +142,10 @@ _encoders: dict[int, Encoder] = {}
 
 
 def encoder_for(vocabulary: bytes) -> Encoder:
-    """One encoder for each vocabulary and worker."""
+    """The worker's encoder; one of another vocabulary gives way."""
     key = hash(vocabulary)
     if key not in _encoders:
+        _encoders.clear()
         _encoders[key] = Encoder(vocabulary)
     return _encoders[key]
 
@@ -156,12 +161,15 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(vocabulary.value)
-        for batch in text_chunks(batches):
-            found = [encoder.encode(t or "") for t in batch.column(1).to_pylist()]
-            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-            flat = np.fromiter(chain.from_iterable(found), np.int32, count=int(ends[-1]))
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(list(map(encoder.decode, found)), pa.string())], ["doc_id", "ids", "decoded"])
+        try:
+            for batch in text_chunks(batches):
+                found = [encoder.encode(t or "") for t in batch.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                flat = np.fromiter(chain.from_iterable(found), np.int32, count=int(ends[-1]))
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(list(map(encoder.decode, found)), pa.string())], ["doc_id", "ids", "decoded"])
+        finally:
+            encoder.forget()  # the worker goes on to other stages
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string")

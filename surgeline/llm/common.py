@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 BROADCAST_ROWS = 1_000_000  # of one or two bigint columns: tens of megabytes at most
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -50,3 +50,4 @@ def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) ->
                 first, held = i, 0
             held += size
         yield batch.slice(first)
+        pa.default_memory_pool().release_unused()  # a worker outlives its tasks

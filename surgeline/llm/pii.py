@@ -17,7 +17,6 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -166,9 +165,9 @@ def redact_text(text: str) -> str:
 def redacted(text: str) -> Column:
     """The redacted text of a column; null stays null."""
 
-    @F.pandas_udf("string")
-    def redact(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else redact_text(t))
+    @F.arrow_udf("string")
+    def redact(texts: pa.Array) -> pa.Array:
+        return pa.array([redact_text(t.as_py()) if t.is_valid else None for t in texts], pa.string())
 
     return redact(text)
 

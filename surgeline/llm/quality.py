@@ -234,13 +234,13 @@ def keeps(forest: Forest) -> Column:
     """The verdict on a text, for a filter that moves no row."""
     trained = forest
 
-    @F.pandas_udf("boolean")
-    def verdict(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def verdict(texts: pa.Array) -> pa.Array:
         kept = []
-        for chunk in text_chunks(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])])):
+        for chunk in text_chunks(iter([pa.RecordBatch.from_arrays([texts], ["text"])])):
             found = measure(chunk.column(0))
             failed = (found["n_words"] < 50) | (100 * found["n_repeat_words"] > 50 * found["n_words"])
             kept.append(~failed & (trained.scores(features(found)) < trained.threshold))
-        return pd.Series(np.concatenate(kept) if kept else np.zeros(0, bool))
+        return pa.array(np.concatenate(kept) if kept else np.zeros(0, bool))
 
     return verdict("text")

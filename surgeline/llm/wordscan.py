@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import CHUNK_BYTES
+
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240611))
 BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
@@ -28,7 +30,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     """BASE**i modulo 2**64, or of its inverse, for i up to n."""
     key = "inverse" if inverse else "plain"
     if key not in _powers or len(_powers[key]) <= n:
-        size = max(n + 1, 1 << 20)
+        size = max(n + 1, CHUNK_BYTES + 1)
         steps = np.full(size, pow(BASE, -1, 1 << 64) if inverse else BASE, dtype=np.uint64)
         steps[0] = 1
         _powers[key] = np.cumprod(steps)
