@@ -1,12 +1,14 @@
-"""Quality rules judged by an isolation forest.
+"""Quality rules judged by isolation forests.
 
-`rule_statistics` measures each text in one pass. The forest isolates rows of those statistics by
-random splits of how far each statistic exceeds its rule's limit; short path lengths mark anomalies.
-It grows on a bounded sample of labelled rows (TREES trees of at most SUBSAMPLE rows, from at most
-SAMPLE rows). The threshold is calibrated on all labelled rows: of the scores that reject at most
-`tolerance` of the good rows, the one that rejects most bad rows.
+`rule_statistics` measures each text in one pass. Two forests isolate rows of the rules' ratios, one
+grown on good and one on bad labelled rows; no ratio is cut at its rule's limit. Random splits cover
+the range of both, so a row far from a forest's own rows ends on a short path there. The score
+compares the two: it is high for a row that good ones isolate and bad ones do not. Each forest grows
+on a bounded sample (TREES trees of at most SUBSAMPLE rows, from at most SAMPLE rows of its label).
+The threshold is calibrated on all labelled rows: of the scores that reject at most `tolerance` of
+the good rows, the one that rejects most bad rows.
 
-A null or empty text has no words and fails the base rule. Without labels the forest grows on
+A null or empty text has no words and fails the base rule. Without labels the first forest grows on
 all rows, and without bad ones nothing but the base rule rejects. Rows are judged one by one, so
 repeated rows get equal verdicts. Other columns are not read.
 """
@@ -22,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import text_chunks, thinned
 from .wordscan import Scan, scan, windows
 
@@ -107,28 +110,27 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
 
 
-#: Limits of the rules, per word, character or line.
+#: Limits of the rules, per word, character or line; units of the ratios.
 SYMBOLS_PER_WORD, MARKS_PER_WORD = 0.1, 0.6
 UPPER_SHARE, DIGIT_SHARE = 0.3, 0.2
 DUPLICATE_LINES, REPEATED_WORDS = 0.5, 0.4
-WORD_LENGTH = (2.5, 12.0)
 
 
 def features(stats: dict[str, np.ndarray]) -> np.ndarray:
-    """By how much each share exceeds its rule's limit, as a multiple of the limit; 0 within it."""
+    """Each share as a multiple of its rule's limit, word length and number of words, on log scales."""
     s = {k: np.asarray(v, float) for k, v in stats.items()}
     words, chars, lines = np.maximum(s["n_words"], 1), np.maximum(s["word_chars"], 1), np.maximum(s["n_lines"], 1)
-    length = s["word_chars"] / words
-    ratios = [
+    shares = [
         s["n_symbols"] / words / SYMBOLS_PER_WORD,
         s["n_marks"] / words / MARKS_PER_WORD,
         s["n_upper"] / chars / UPPER_SHARE,
         s["n_digits"] / chars / DIGIT_SHARE,
         s["n_dup_lines"] / lines / DUPLICATE_LINES,
         s["n_repeat_words"] / words / REPEATED_WORDS,
-        np.maximum(length / WORD_LENGTH[1], WORD_LENGTH[0] / np.maximum(length, 0.1)),
+        s["word_chars"] / words,
+        s["n_words"],
     ]
-    return np.maximum(np.column_stack(ratios) - 1.0, 0.0)
+    return np.log1p(np.column_stack(shares))
 
 
 def usual_path(n: float) -> float:
@@ -142,7 +144,6 @@ class Forest:
 
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     usual: float
-    threshold: float = 1.0
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
         total = np.zeros(len(rows))
@@ -158,7 +159,9 @@ class Forest:
         return 2.0 ** (-total / (max(1, len(self.trees)) * max(self.usual, 1e-9)))
 
 
-def grow(rows: np.ndarray, seed: int = 7, trees: int = TREES, subsample: int = SUBSAMPLE) -> Forest:
+def grow(rows: np.ndarray, low: np.ndarray, high: np.ndarray, seed: int = 7, trees: int = TREES, subsample: int = SUBSAMPLE) -> Forest:
+    """Cuts fall anywhere within a node's bounds, those of the root being low and high, so that they
+    also part the rows from what lies beside them."""
     rng = np.random.default_rng(seed)
     size = min(subsample, len(rows))
     depth = int(np.ceil(np.log2(max(size, 2))))
@@ -166,25 +169,45 @@ def grow(rows: np.ndarray, seed: int = 7, trees: int = TREES, subsample: int = S
     for _ in range(trees if len(rows) else 0):
         part = rows[rng.choice(len(rows), size, replace=False)]
         feature, cut, left, path = [-1], [0.0], [0], [0.0]
-        stack = [(0, part, 0)]
+        stack = [(0, part, 0, low, high)]
         while stack:
-            node, own, level = stack.pop()
-            low, high = own.min(axis=0), own.max(axis=0)
-            varied = np.flatnonzero(high > low)
+            node, own, level, least, most = stack.pop()
+            varied = np.flatnonzero(most > least)
             if level >= depth or len(own) <= 1 or not len(varied):
                 path[node] = level + usual_path(len(own))
                 continue
             f = int(rng.choice(varied))
-            c = rng.uniform(low[f], high[f])
+            c = rng.uniform(least[f], most[f])
             feature[node], cut[node], left[node] = f, c, len(feature)
-            for side in (own[own[:, f] < c], own[own[:, f] >= c]):
-                stack.append((len(feature), side, level + 1))
+            below, above = most.copy(), least.copy()
+            below[f] = above[f] = c
+            for side in ((own[own[:, f] < c], level + 1, least, below), (own[own[:, f] >= c], level + 1, above, most)):
+                stack.append((len(feature), *side))
                 feature.append(-1), cut.append(0.0), left.append(0), path.append(float(level + 1))
         made.append((np.array(feature), np.array(cut), np.array(left), np.array(path)))
     return Forest(made, usual_path(size))
 
 
-def score_column(forest: Forest) -> Column:
+@dataclass
+class Judge:
+    """The forests of good and of bad rows; one without rows isolates everything at once."""
+
+    good: Forest
+    bad: Forest
+    threshold: float = 1.01
+
+    def scores(self, rows: np.ndarray) -> np.ndarray:
+        good, bad = self.good.scores(rows), self.bad.scores(rows)
+        return good / (good + bad)
+
+
+def contrast(good: np.ndarray, bad: np.ndarray) -> Judge:
+    both = np.concatenate([good, bad])
+    low, high = (both.min(axis=0), both.max(axis=0)) if len(both) else (None, None)
+    return Judge(grow(good, low, high), grow(bad, low, high))
+
+
+def score_column(forest: Judge) -> Column:
     @F.pandas_udf("double")
     def score(*stats: pd.Series) -> pd.Series:
         return pd.Series(forest.scores(features({c: s.to_numpy() for c, s in zip(STATISTICS, stats, strict=True)})))
@@ -192,16 +215,20 @@ def score_column(forest: Forest) -> Column:
     return score(*STATISTICS)
 
 
-def fit(stats: DataFrame, labels: DataFrame, tolerance: float = TOLERANCE) -> Forest:
-    """Forest and threshold. A row counts as good or bad by its label's quality; of repeated labels
+def fit(stats: DataFrame, labels: DataFrame, tolerance: float = TOLERANCE) -> Judge:
+    """Forests and threshold. A row counts as good or bad by its label's quality; of repeated labels
     of one document the lowest holds."""
     quality = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = stats.join(quality, "doc_id").where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    joined = stats.join(quality, "doc_id").where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    known = materialize(joined.select("doc_id", *STATISTICS, "quality"), "labelled")  # numbers, read several times
     order = F.xxhash64("doc_id", *STATISTICS)
-    sample = thinned(known, order, SAMPLE).orderBy(order).limit(SAMPLE).toPandas()
-    if not len(sample):
-        sample = thinned(stats.where("n_words > 0"), order, SAMPLE).orderBy(order).limit(SAMPLE).toPandas()
-    forest = grow(features({c: sample[c].to_numpy() for c in STATISTICS}))
+
+    def sample(rows: DataFrame) -> np.ndarray:
+        taken = thinned(rows, order, SAMPLE).orderBy(order).limit(SAMPLE).toPandas()
+        return features({c: taken[c].to_numpy() for c in STATISTICS})
+
+    good, bad = sample(known.where("quality = 1")), sample(known.where("quality = 0"))
+    forest = contrast(good if len(good) or len(bad) else sample(stats.where("n_words > 0")), bad)
     binned = F.floor(score_column(forest) * BINS).cast("int").alias("bin")
     counts = known.select("quality", binned).groupBy("bin").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
     forest.threshold = calibrate(counts.collect(), tolerance)  # at most BINS + 1 rows
@@ -223,14 +250,14 @@ def calibrate(counts: list, tolerance: float) -> float:
     return edge
 
 
-def judge(stats: DataFrame, forest: Forest) -> DataFrame:
+def judge(stats: DataFrame, forest: Judge) -> DataFrame:
     """stats with base_failed, score and kept."""
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     scored = stats.withColumn("base_failed", failed).withColumn("score", score_column(forest))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") < forest.threshold))
 
 
-def keeps(forest: Forest) -> Column:
+def keeps(forest: Judge) -> Column:
     """The verdict on a text, for a filter that moves no row."""
     trained = forest
 

@@ -7,6 +7,7 @@ from collections import Counter
 from random import Random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from helpers import ODD, documents, text_of
@@ -135,6 +136,25 @@ def test_rule_statistics_and_verdicts(spark):
     assert quality.judge(stats.where("false"), quality.fit(stats.where("false"), labels)).count() == 0
 
 
+def test_labelled_anomalies_within_all_limits_are_rejected(spark):
+    """Bad rows with 9% symbols, 19% digits and 45% repeated lines at once, or with one of these."""
+    rng = Random(6)
+
+    def stats(i, **odd):
+        n = rng.randint(60, 900)
+        lines = n // 20 + 2
+        row = {"doc_id": i, "n_words": n, "word_chars": n * 5, "n_symbols": 0, "n_dup_lines": 0, "n_repeat_words": n // 100, "n_upper": n // 3, "n_digits": n // 50, "n_marks": n // 7, "n_lines": lines}
+        return row | {k: int(v * {"n_symbols": n, "n_digits": n * 5, "n_dup_lines": lines}[k]) for k, v in odd.items()}
+
+    shapes = [{"n_symbols": 0.09, "n_digits": 0.19, "n_dup_lines": 0.45}, {"n_symbols": 0.09}, {"n_digits": 0.19}, {"n_dup_lines": 0.45}]
+    good, bad = [stats(i) for i in range(400)], [stats(1000 + i, **shapes[i % 4]) for i in range(160)]
+    df = spark.createDataFrame(pd.DataFrame(good + bad))
+    labels = spark.createDataFrame([(i, 1) for i in range(300)] + [(1000 + i, 0) for i in range(100)], "doc_id long, quality int")
+    kept = {r.doc_id for r in quality.judge(df, quality.fit(df, labels)).where("kept").collect()}
+    assert len(kept & set(range(400))) >= 398 and not kept & set(range(1000, 1100))
+    assert len(kept & set(range(1100, 1160))) <= 3  # bad rows the forests have not seen
+
+
 def test_licenses_against_all_windows(spark):
     notices = list(licenses.TEMPLATES.items())
     docs = [(i, f"{text_of(i, 9 + i)} {v.upper() if i % 2 else v}\n{text_of(i + 30, 12)}") for i, (_, v) in enumerate(notices)]
