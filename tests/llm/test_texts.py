@@ -183,6 +183,18 @@ def test_url_rules_and_model(spark):
     assert np.mean(right) > 0.9
 
 
+def test_urls_that_differ_only_in_their_path(spark):
+    bad = ["/casino/free-bets", "/en/poker-night/12", "/a/b/viagra-pills", "/Online-Casino/1", "/de/99/torrent.html"]
+    good = ["/garden/free-plants", "/en/letters-night/12", "/a/b/recipes-kitchen", "/Online-Museum/1", "/de/99/current.html"]
+    hosts = ["blog.example.org", "city.example.net", "unseen-host.io"]
+    for host in hosts:
+        given = [f"https://{host}{path}" for path in [*bad, *good]]
+        rows = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame(list(enumerate(given)), "page_id long, url string"), urls.train(), []).collect()}
+        assert [rows[i].verdict for i in range(10)] == ["block"] * 5 + ["allow"] * 5
+    model = urls.train()
+    assert model.score("spam-farm.example.org", "/library/history") >= 0.5  # a harmless path does not clear a bad host
+
+
 LEXICON = {"xx": "alba bero cima dola".split(), "yy": "krut stom vrek plim".split()}
 
 
