@@ -12,6 +12,10 @@ one shingle). Steps:
    or more to the template and shares a band with a chance above 0.9999.
 4. Exact containment of the template's shingles decides. Of each document and template the window
    with the highest containment is reported, the first of equal ones.
+5. A passage with words put in may be longer than any window. Its shingles with a cue are looked up
+   exactly (by step 1 it has one), all shingles of the pairs found so are counted over the whole
+   document, and where no window matches but the document holds enough, the passage from the first
+   to the last of them is reported. Its length has no limit.
 
 Templates are a parameter, a bounded list kept on the driver. A null or empty text matches nothing,
 rows with a null id give no row, rows of one doc_id are one document. Other columns are not read.
@@ -103,10 +107,29 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     hits = cut.join(F.broadcast(bands), ["n", "band"])  # the templates are a bounded parameter
     held = F.size(F.array_intersect("shingles", "wanted")) / F.size("wanted")
     found = hits.select("doc_id", "license", "start", "n", held.alias("held")).where(F.col("held") >= threshold - 1e-9)
-    best = found.groupBy("doc_id", "license").agg(F.max_by(F.struct("start", "n", "held"), F.struct("held", -F.col("start"))).alias("w"))
+    best = found.groupBy("doc_id", "license").agg(F.max_by(F.struct("start", "n", "held"), F.struct("held", -F.col("start"))).alias("w"), F.lit(0).alias("broken"))
+    wide = _broken_passages(words, spots, known, cues, threshold, shingle)
+    best = best.unionByName(wide).groupBy("doc_id", "license").agg(F.min_by("w", "broken").alias("w"))  # windows first
     return best.select("doc_id", "license", F.col("w.start").cast("int").alias("start_word"), F.col("w.n").cast("int").alias("n_words"), F.round("w.held", 6).alias("containment"))
 
 
+def _broken_passages(words: DataFrame, spots: DataFrame, known: DataFrame, cues: list[str], threshold: float, shingle: int) -> DataFrame:
+    """(doc_id, license, w, broken) of documents that hold enough shingles, however far apart."""
+    gram = f"array_join(slice(words, int(i) + 1, {shingle}), ' ')"
+    grams = known.where(F.col("n") > shingle).select("license", F.size("shingles").alias("total"), F.explode("shingles").alias("gram"))
+    with_cue = grams.where(F.arrays_overlap(F.split("gram", " "), F.array(*[F.lit(c) for c in cues]))) if cues else grams.where("false")
+    around = f"sequence(greatest(0, at - {shingle} + 1), at)"
+    near = spots.select("doc_id", "words", F.explode(F.expr(around)).alias("i")).select("doc_id", F.expr(gram).alias("gram"))
+    pairs = near.join(F.broadcast(with_cue.select("license", "gram")), "gram").select("doc_id", "license").distinct()  # the templates are a bounded parameter
+    ids = pairs.select("doc_id").distinct()
+    places = words.join(ids, "doc_id", "left_semi").select("doc_id", "words", F.explode(F.expr(f"sequence(0, greatest(size(words) - {shingle}, 0))")).alias("i"))
+    held = places.select("doc_id", "i", F.expr(gram).alias("gram")).join(F.broadcast(grams), "gram")
+    counted = held.groupBy("doc_id", "license").agg(F.count_distinct("gram").alias("n_held"), F.first("total").alias("total"), F.min("i").alias("first"), F.max("i").alias("last"))
+    share = F.col("n_held") / F.col("total")
+    passage = F.struct(F.col("first").cast("long").alias("start"), (F.col("last") - F.col("first") + shingle).cast("int").alias("n"), share.alias("held"))
+    return counted.where(share >= threshold - 1e-9).select("doc_id", "license", passage.alias("w"), F.lit(1).alias("broken"))
+
+
 def _sized(words: str, shingle: int, length: str | None = None) -> Column:
     """Distinct shingles of `shingle` words; of templates shorter than that, of the whole length."""
     n = length or f"size({words})"

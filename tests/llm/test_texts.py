@@ -170,6 +170,25 @@ def test_licenses_against_all_windows(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_licenses_with_words_put_in(spark):
+    name, text = "GPL-header", licenses.TEMPLATES["GPL-header"]
+    notice = licenses.template_words(text)
+    wanted = set(licenses._shingles(notice, 5))
+    docs, want = [], {}
+    for k in (1, 3, 4, 9, 40):
+        for at in range(1, len(notice)):
+            for offset in range(3):
+                passage = notice[:at] + text_of(7, k).split() + notice[at:]
+                i = len(docs)
+                docs.append((i, " ".join([*text_of(i, 12 + offset).split(), *passage, *text_of(i + 1, 9).split()])))
+                share = len(wanted & set(licenses._shingles(passage, 5))) / len(wanted)
+                if share >= 0.8:
+                    want[i] = round(share, 6)
+    found = {r.doc_id: r.containment for r in licenses.find_licenses(documents(spark, docs)).collect() if r.license == name}
+    assert len(want) == len(docs) and found.keys() == want.keys()
+    assert all(0.8 <= found[i] <= want[i] for i in want)
+
+
 def test_url_rules_and_model(spark):
     given = ["http://a.Example.COM/en/1?x", "https://www.example.com/en/", "https://x.net/fr/2#top", "http://notcom/", "http://com", "none", None, "http://spam-farm.example.org/es/7", "http://therean.example.org/es/7", "x://h?p/://q"]
     rows = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame(list(enumerate(given)), "page_id long, url string"), urls.train()).collect()}
