@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import bpe, html_text, language, licenses, near_dup, pii, quality, token_counts, urls
+from . import bpe, clusters, fingerprints, html_text, language, licenses, near_dup, pii, quality, token_counts, urls
 from . import decontaminate as leaks
 from .common import table
 
@@ -125,3 +125,41 @@ def op10_html_text(spark: SparkSession, d: str) -> DataFrame:
     """Main text of every page."""
     found = html_text.extract_main_text(table(spark, d, "pages"), html_text.train())
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op11_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    return fingerprints.fingerprints(table(spark, d, "documents"))
+
+
+@query
+def op12_centroid_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Cluster of every vector of 64 finite components."""
+    return clusters.cluster(table(spark, d, "embeddings"))
+
+
+def _cluster_sql(clusters: int = 40, rounds: int = 5) -> str:
+    """All distances in every round."""
+    steps = [
+        "kept AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS id, vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x"
+        " FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64)",
+        f"centres0 AS (SELECT row_number() OVER (ORDER BY sha256(concat('2:', vec_id)), x) - 1 AS k, x AS c FROM kept QUALIFY k < {clusters})",
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"near{i} AS MATERIALIZED (SELECT id, any_value(vec_id) AS vec_id, any_value(x) AS x, min(struct_pack(d := d, k := k)) AS best FROM"
+            f" (SELECT id, vec_id, x, k, CAST(list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM kept, centres{i}) GROUP BY id)"
+        )
+        if i < rounds:
+            steps.append(
+                f"means{i} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (SELECT best.k AS k, i, sum(x[i]) AS s, count(*) AS n FROM near{i}, unnest(range(1, 65)) AS t(i) GROUP BY ALL) GROUP BY k),\n"
+                f"centres{i + 1} AS MATERIALIZED (SELECT k, coalesce(list_transform(m.c, lambda e: CAST(e AS BIGINT)), o.c) AS c FROM centres{i} o LEFT JOIN means{i} m USING (k))"
+            )
+    last = f"""SELECT vec_id, CAST(best.k AS INTEGER) AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM near{rounds} JOIN centres{rounds} ON k = best.k"""
+    return "WITH " + ",\n".join(steps) + "\n" + last
+
+
+ORACLE["op12_centroid_clusters"] = _cluster_sql()
