@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import bpe, clusters, fingerprints, html_text, language, licenses, near_dup, pii, quality, token_counts, urls
+from . import bpe, clusters, conversations, fingerprints, html_text, language, licenses, near_dup, pii, quality, token_counts, urls
 from . import decontaminate as leaks
 from .common import table
 
@@ -163,3 +163,64 @@ FROM near{rounds} JOIN centres{rounds} ON k = best.k"""
 
 
 ORACLE["op12_centroid_clusters"] = _cluster_sql()
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Faults of every conversation after a fixed damage, and its cheapest repair."""
+    return conversations.repair(conversations.damage(table(spark, d, "conversations")))
+
+
+ORACLE["op13_conversation_repair"] = r"""
+WITH RECURSIVE hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')), ''), lambda c: ascii(c)::BIGINT)),
+    lambda x, b: list_reduce(list_prepend(xor(x, b), range(8)), lambda y, i: xor(y >> 1, 3988292384 * (y & 1))))) % 20 AS kind
+  FROM conversations
+),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+  FROM hashed, unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS t(copy)
+),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM damaged),
+faulty AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair
+  FROM ordered
+),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM faulty GROUP BY conv_id
+),
+states(q, follow, said) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+inserts AS (
+  SELECT q, q AS q2, '' AS letters, '' AS lines FROM states
+  UNION ALL SELECT q, follow, 'I', said || ':' || chr(10) FROM states
+  UNION ALL SELECT a.q, b.follow, 'II', a.said || ':' || chr(10) || b.said || ':' || chr(10) FROM states a JOIN states b ON b.q = a.follow
+),
+options AS (
+  SELECT q, follow AS q2, 'R' AS letter, 3 AS cost, said, ''::VARCHAR AS initial FROM states
+  UNION ALL SELECT q, q, 'D', 4, ''::VARCHAR, '' FROM states
+  UNION ALL SELECT * FROM (VALUES (0, 1, 'K', 0, '', 's'), (0, 2, 'K', 0, '', 'u'), (1, 2, 'K', 0, '', 'u'), (3, 2, 'K', 0, '', 'u'), (2, 3, 'K', 0, '', 'a'))
+),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS q, 0::BIGINT AS cost, '' AS audit, '' AS lines FROM counts
+  UNION ALL
+  SELECT w.conv_id, w.i + 1, o.q2, w.cost + 3 * len(s.letters) + o.cost + CASE WHEN f.fault = 'truncated' AND o.letter <> 'D' THEN 3 ELSE 0 END AS total, w.audit || s.letters || o.letter AS way,
+    w.lines || s.lines || CASE WHEN o.letter = 'D' THEN '' ELSE CASE o.letter WHEN 'K' THEN f.role ELSE o.said END || ':' || f.text || chr(10) END
+  FROM walk w JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1 JOIN inserts s ON s.q = w.q JOIN options o ON o.q = s.q2
+  WHERE (o.letter = 'D' OR f.fault NOT IN ('blank', 'duplicate')) AND (o.letter <> 'K' OR o.initial = left(f.role, 1))
+  QUALIFY row_number() OVER (PARTITION BY w.conv_id, o.q2 ORDER BY total, way) = 1
+),
+best AS (
+  SELECT w.conv_id, w.cost + 3 * len(s.letters) AS cost, w.audit || s.letters AS audit, w.lines || s.lines AS lines
+  FROM walk w JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.i JOIN inserts s ON s.q = w.q
+  WHERE s.q2 IN (0, 3) QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + 3 * len(s.letters), w.audit || s.letters) = 1
+)
+SELECT d.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(left(coalesce(lines, ''), greatest(len(lines) - 1, 0))) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
