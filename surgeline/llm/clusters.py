@@ -48,7 +48,7 @@ def first_centroids(vectors: DataFrame, clusters: int, seed: int) -> np.ndarray:
     """The vectors with the smallest hashes of `seed:vec_id`: `clusters` rows on the driver."""
     name = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     rows = vectors.orderBy(name.asc_nulls_last(), "x").limit(clusters).collect()
-    return np.array([r["x"] for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r["x"] for r in rows], np.int64)
 
 
 @dataclass
@@ -213,10 +213,10 @@ def cluster(vectors: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS,
     spark = vectors.sparkSession
     rows = usable(vectors, dimensions)
     shape = "cluster int, cluster_inertia long, inertia long, centroid_sha256 string"
-    history = History([first_centroids(rows, clusters, seed)])
-    if not len(history.rounds[0]):
+    first = first_centroids(rows, clusters, seed)
+    if not len(first):
         return spark.createDataFrame([], f"vec_id long, distance long, {shape}").select(*COLUMNS)
-    state = rows
+    history, state = History([first]), rows
     for _ in range(rounds):
         state = materialize(assigned(state, history), "clusters")
         history = History([*history.rounds, moved_centroids(state, history.rounds[-1])])
