@@ -36,6 +36,15 @@ def thinned(df: DataFrame, key: Column, rows: int) -> DataFrame:
     return df if share == 1.0 else df.where(F.pmod(key, F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
+_ascii_lower = {c: c + 32 for c in range(65, 91)}
+
+
+def lowered(text: str) -> str:
+    """In lower case, character by character: places in the result are places in the text."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_ascii_lower)
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows whose last column, a text, holds about `limit` bytes; a longer text
     comes alone. Nothing is cut."""
