@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 
+from .common import lowered
+
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp template svg".split())
@@ -20,6 +23,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPE = frozenset("table ul ol dl select body html div article section main aside nav footer header form td th button".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HIDDEN = RAW | {"head"}
+FOREIGN = frozenset("svg math path g circle rect line use".split())  # in HTML only these close themselves by a slash
 
 # Words in class, id and role attributes that speak for or against an article.
 GOOD = frozenset("article articlebody body content entry main post story text blog page prose read".split())
@@ -28,9 +32,8 @@ BAD = frozenset(
     " menu nav navbar navigation newsletter notice pagination popup promo related replies reply respond search share sharing sidebar signup social"
     " sponsor sponsored subscribe tags toolbar widget".split()
 )
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S
-)
+QUOTED = re.compile(r"=\s*([\"'])")
+NAME = re.compile(r"/?[A-Za-z][^\s/>]*")
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -60,62 +63,148 @@ def attribute_tokens(attributes: str) -> tuple[str, ...]:
     return tuple(t.lower() for m in ATTRIBUTE.finditer(attributes) for t in TOKEN.findall(m[2] or m[3] or m[4] or ""))
 
 
+class Markup:
+    """Tags of a page, one after the other. What a search has not found is not searched again, so no
+    part of a page is read more than a few times."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.absent: dict[str, int] = {}  # from where on there is none
+
+    def find(self, what: str, at: int) -> int:
+        """The next place, or -1."""
+        if at >= self.absent.get(what, len(self.source) + 1):
+            return -1
+        found = self.source.find(what, at)
+        if found < 0:
+            self.absent[what] = at
+        return found
+
+    def after(self, what: str, at: int) -> int:
+        """Behind the next place, or the page's end."""
+        found = self.find(what, at)
+        return len(self.source) if found < 0 else found + len(what)
+
+    def tag_end(self, at: int) -> int:
+        """The > that ends a tag whose name ends here: not one in a quoted value, unless the quote
+        never ends."""
+        source = self.source
+        while True:
+            close = self.find(">", at)
+            if close < 0:
+                return -1
+            quote = QUOTED.search(source, at, close)
+            if not quote:
+                return close
+            end = self.find(quote[1], quote.end())
+            if end < 0:
+                return close
+            at = end + 1
+
+    def next(self, at: int) -> tuple[int, int, str, str]:
+        """(start, end, name, attributes) of the next tag; an end tag's name starts with /, a
+        comment's or declaration's is empty. The start is -1 if there is none."""
+        source = self.source
+        while (at := self.find("<", at)) >= 0:
+            if source.startswith("<!--", at):
+                return at, self.after("-->", at + 4), "", ""
+            if source.startswith("<![CDATA[", at):
+                return at, self.after("]]>", at + 9), "", ""
+            if source[at + 1 : at + 2] in ("!", "?"):
+                if (end := self.find(">", at)) >= 0:
+                    return at, end + 1, "", ""
+            elif m := NAME.match(source, at + 1):
+                if (end := self.tag_end(m.end())) >= 0:
+                    return at, end + 1, m[0].lower(), source[m.end() : end]
+            at += 1
+        return -1, -1, "", ""
+
+
+class Stack:
+    """The open elements, with how many of each name there are at all and in the innermost scope."""
+
+    def __init__(self):
+        self.open: list[tuple[int, str]] = []
+        self.held: Counter[str] = Counter()
+        self.scopes: list[tuple[str, Counter[str]]] = [("", Counter())]
+
+    @property
+    def top(self) -> int:
+        return self.open[-1][0] if self.open else 0
+
+    def push(self, node: int, name: str) -> None:
+        self.open.append((node, name))
+        self.held[name] += 1
+        self.scopes[-1][1][name] += 1
+        if name in SCOPE:
+            self.scopes.append((name, Counter()))
+
+    def pop(self) -> str:
+        name = self.open.pop()[1]
+        if name in SCOPE:
+            self.scopes.pop()
+        self.held[name] -= 1
+        self.scopes[-1][1][name] -= 1
+        return name
+
+    def reaches(self, names: set[str] | frozenset[str]) -> bool:
+        scope, inside = self.scopes[-1]
+        return scope in names or any(inside[n] for n in names)
+
+    def close(self, names: set[str] | frozenset[str]) -> None:
+        """End the innermost of these elements unless an element that holds its own stands between."""
+        while self.reaches(names):
+            while (name := self.pop()) not in names:
+                pass
+            if name not in ("td", "th"):
+                return
+
+
 def parse(source: str) -> Page:
     """Never fails: unknown markup is text, unclosed elements end with the page."""
-    page = Page()
-    stack = [0]
+    page, stack = Page(), Stack()
+    markup = Markup(source)
+    low = lowered(source)
+    endings = Markup(low)
     at, end = 0, len(source)
 
     def words(raw: str) -> None:
         if raw:
-            page.add("#text", stack[-1], text=html.unescape(raw) if "&" in raw else raw)
+            page.add("#text", stack.top, text=html.unescape(raw) if "&" in raw else raw)
 
     while at < end:
-        m = TAG.search(source, at)
-        if m is None:
+        start, after, name, attributes = markup.next(at)
+        if start < 0:
             words(source[at:])
             break
-        words(source[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if name is None:
+        words(source[at:start])
+        at = after
+        if not name:
             continue
-        name = name.lower()
-        if m[1] or m[4]:
-            if name in [page.tag[k] for k in reversed(stack)]:
-                while page.tag[stack.pop()] != name:
+        if name[0] == "/":
+            name = name[1:]
+            if stack.held[name]:
+                while stack.pop() != name:
                     pass
             elif name == "p":
-                page.add("p", stack[-1])
+                page.add("p", stack.top)
             continue
-        attributes = m[3] or m[6] or ""
         if name in ENDS_P:
-            _close(page, stack, {"p"})
+            stack.close({"p"})
         if name in CLOSES:
-            _close(page, stack, CLOSES[name])
-        node = page.add(name, stack[-1], attribute_tokens(attributes), marks=attributes if "x-" in attributes else "")
+            stack.close(CLOSES[name])
+        node = page.add(name, stack.top, attribute_tokens(attributes), marks=attributes if "x-" in attributes else "")
         if name in RAW:
-            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
-            body = source[at : close.start()] if close else source[at:]
-            page.add("#text", node, text=body)
-            at = close.end() if close else end
-        elif name not in VOID and not attributes.endswith("/"):
-            stack.append(node)
+            close = at
+            while (close := endings.find(f"</{name}", close)) >= 0 and low[close + len(name) + 2 : close + len(name) + 3].isalnum():
+                close += 1
+            page.add("#text", node, text=source[at:close] if close >= 0 else source[at:])
+            at = endings.after(">", close) if close >= 0 else end
+        elif name not in VOID and not (attributes.endswith("/") and name in FOREIGN):
+            stack.push(node, name)
     return page
 
 
-def _close(page: Page, stack: list[int], names: set[str]) -> None:
-    """End the innermost of these elements unless an element that holds its own stands between."""
-    for k in range(len(stack) - 1, 0, -1):
-        tag = page.tag[stack[k]]
-        if tag in names:
-            del stack[k:]
-            if tag not in ("td", "th"):
-                return
-        elif tag in SCOPE and tag not in names:
-            return
-
-
 FEATURES = 22
 _kind = {"article": 1, "main": 1, "section": 2, "div": 2, "p": 3, "pre": 3, "blockquote": 3, "nav": 4, "footer": 4, "header": 4, "aside": 4, "form": 5, "button": 5, "select": 5, "input": 5, "ul": 6, "ol": 6, "li": 6, "table": 7, "tr": 7, "td": 7, "a": 8, "#text": 9, "body": 10, "html": 10, "#root": 10} | dict.fromkeys(HEADINGS, 11)
 

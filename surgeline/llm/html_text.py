@@ -4,8 +4,8 @@ Each node of a page (elements and text runs) has features: kind, subtree text, d
 links, depth, place among its siblings, words in its class, id and role. Gradient-boosted trees, trained
 here on labelled pages built from layouts, give the log odds that a node holds or leads to main text.
 Decoding picks the set of nodes with the highest likelihood among those in which every kept node's
-parent is kept, so that no verdict contradicts one above it. Scripts, styles and the head are never
-text.
+parent is kept, so that no verdict contradicts one above it, and in which a run of text and inline
+elements is kept or dropped as one. Scripts, styles and the head are never text.
 
 A null or empty html has the empty text. Broken markup is read tolerantly. White space inside a block
 is one space, blocks part by one newline, character references are decoded. Pages are handled one by
@@ -15,6 +15,7 @@ one; repeated rows give repeated results, other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from random import Random
 
 import numpy as np
@@ -24,31 +25,40 @@ from pyspark.sql import functions as F
 
 from .boosting import Boosted, boost
 from .common import text_chunks
-from .dom import Page, collected, node_features, parse
+from .dom import BLOCK, HIDDEN, Page, collected, node_features, parse
 
 TRAINING_PAGES = 500
 
 
 class Layouts:
-    """Labelled pages: x-keep marks the element that holds the article, x-drop what in it is none."""
+    """Labelled pages: x-keep marks what belongs to the article, x-drop what in it does not. Words are
+    made of random letters, so that only structure, density and attributes can be learned."""
 
     def __init__(self, seed: int = 5):
         self.rng = Random(seed)
 
+    def word(self) -> str:
+        r = self.rng
+        return "".join(r.choice("bcdfgklmnprstvwz") + r.choice("aeiou") for _ in range(r.choice([1, 1, 2, 2, 3, 4])))
+
     def words(self, low: int, high: int) -> str:
         r = self.rng
-        out = ["".join(r.choice("ther on an re in es de la und que ti en or le st ai".split()) for _ in range(r.randint(1, 3))) for _ in range(r.randint(low, high))]
+        out = [self.word() for _ in range(r.randint(low, high))]
         style = r.random()
         if style < 0.08:
             out = [w.upper() + "!!" for w in out]
         elif style < 0.16:
-            out = [w + r.choice(["###", "$$$", "&amp;&amp;&amp;", "***"]) for w in out]
+            out = [w + r.choice(["###", "$$$", "&amp;&amp;", "***", "%"]) for w in out]
         elif style < 0.2:
             return " | ".join(out)
         return " ".join(w + r.choice(["", "", "", "", ",", "."]) for w in out).capitalize() + "."
 
+    def target(self) -> str:
+        r = self.rng
+        return r.choice(['"/{}"', "/{}", '"https://{}.example/a/"', "/{}/", "'?{}=1'", '"#{}"']).format(self.word())
+
     def links(self, low: int, high: int) -> str:
-        items = [f'<a href="/{i}">{self.words(1, 2)}</a>' for i in range(self.rng.randint(low, high))]
+        items = [f"<a href={self.target()}>{self.words(1, 2)}</a>" for _ in range(self.rng.randint(low, high))]
         if self.rng.random() < 0.6:
             return "<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>"
         return self.rng.choice([" ", " | ", ""]).join(items)
@@ -59,7 +69,7 @@ class Layouts:
         if r.random() < 0.25:
             text = f"<b>{text}" + r.choice(["</b>", "<br>"])
         if r.random() < 0.2:
-            text += f' <a href="/x">{self.words(1, 4)}</a> {self.words(2, 8)}'
+            text = f"{self.words(1, 8)} <a href={self.target()}>{self.words(1, 4)}</a> {r.choice(['', text])}"
         if r.random() < 0.1:
             text += f" <em>{self.words(1, 5)}</em>"
         return text
@@ -108,16 +118,23 @@ class Layouts:
 
     def page(self) -> str:
         r = self.rng
-        head = f'<html><head><meta charset="utf-8"><title>{self.words(2, 8)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>'
+        head = "<head>" + "".join(r.sample(['<meta charset="utf-8">', f"<title>{self.words(2, 8)}</title>", f"<style>.{self.word()} {{ color: red }}</style>", f"<script>document.write('<p>{self.word()}')</script>", f"<link rel=icon href={self.target()}>"], r.randint(1, 5))) + "</head>"
+        head = r.choice(["<!DOCTYPE html>", ""]) + f"<html>{head}<body>"
         above = "".join(self.aside() for _ in range(r.choice([0, 1, 1, 2, 3, 4])))
         below = "".join(self.aside() for _ in range(r.choice([0, 1, 1, 2, 3, 4])))
         inner = r.choice([f"<h1>{self.words(2, 8)}</h1>", ""]) + self.paragraphs()
         for _ in range(r.choice([0, 0, 0, 1, 2])):
             inner += self.aside().replace(">", " x-drop>", 1) + (self.paragraphs() if r.random() < 0.6 else "")
-        tag, attributes = r.choice(
-            [("article", ""), ("article", ""), ("article", ' class="post"'), ("main", ""), ("div", ' class="content"'), ("div", ' id="main-content"'), ("div", ' class="article-body"'), ("section", ' class="entry story"'), ("div", "")]
-        )
-        body = f"<{tag}{attributes} x-keep>{inner}</{tag}>"
+        if r.random() < 0.15:  # an article without an element of its own
+            inner = "".join(f"<h1 x-keep>{self.words(2, 8)}</h1>" for _ in range(r.randint(0, 1)))
+            body = inner + "".join(f"<p x-keep>{self.inline(4, 60)}</p>" for _ in range(r.randint(1, 12)))
+        else:
+            tag, attributes = r.choice(
+                [("article", ""), ("article", ""), ("article", ' class="post"'), ("main", ""), ("div", ' class="content"'), ("div", ' id="main-content"'), ("div", ' class="article-body"'), ("section", ' class="entry story"'), ("div", ""), ("div", f' class="{self.word()}-item-post"'), ("div", ' class="menu-item-post"'), ("td", "")]
+            )
+            body = f"<{tag}{attributes} x-keep>{inner}</{tag}>"
+            if tag == "td":
+                body = f"<table><tr><td>{self.links(2, 6)}</td>{body}</tr></table>"
         for _ in range(r.choice([0, 0, 1, 2])):
             body = r.choice(["<div>{}</div>", '<div class="wrapper">{}</div>', "<main>{}</main>", '<div id="page">{}</div>']).format(body + (self.aside() if r.random() < 0.3 else ""))
         stray = self.words(1, 8) if r.random() < 0.1 else ""
@@ -139,6 +156,7 @@ def node_labels(page: Page) -> np.ndarray:
     return label
 
 
+@lru_cache(maxsize=4)
 def train(pages: int = TRAINING_PAGES, seed: int = 5) -> Boosted:
     layouts = Layouts(seed)
     parsed = [parse(layouts.page()) for _ in range(pages)]
@@ -162,11 +180,39 @@ def decode(parent: list[int], margin: np.ndarray) -> np.ndarray:
     return keep
 
 
+def runs(page: Page) -> np.ndarray:
+    """Which nodes are decided as one: for each the first node of its run. A block stands alone; text
+    and inline elements that follow each other in one block are a run, with all they hold."""
+    first = list(range(len(page.tag)))
+    open_run: dict[int, int] = {}  # of a block, its run that may go on
+    for i in range(1, len(first)):
+        p = page.parent[i]
+        if page.tag[i] in BLOCK:
+            open_run.pop(p, None)
+        elif p == 0 or page.tag[p] in BLOCK:
+            first[i] = open_run.setdefault(p, i)
+        else:
+            first[i] = first[p]
+    return np.array(first)
+
+
+def decode_page(page: Page, margin: np.ndarray) -> np.ndarray:
+    """Decoding over blocks and runs."""
+    first = runs(page)
+    hidden = np.zeros(len(first), bool)
+    for i in range(1, len(first)):
+        hidden[i] = page.tag[i] in HIDDEN or hidden[page.parent[i]]
+    units, unit = np.unique(first, return_inverse=True)
+    total = np.bincount(unit, np.where(hidden, 0.0, margin), len(units))
+    parent = unit[np.maximum(np.array(page.parent)[units], 0)]
+    return decode(parent.tolist(), total)[unit]
+
+
 def extract_texts(sources: list[str], model: Boosted) -> list[str]:
     pages = [parse(s) for s in sources]
     found = [node_features(p) for p in pages]
     margins = np.split(model.margins(np.concatenate(found)), np.cumsum([len(f) for f in found])[:-1]) if found else []
-    return [collected(p, decode(p.parent, m)) for p, m in zip(pages, margins, strict=True)]
+    return [collected(p, decode_page(p, m)) for p, m in zip(pages, margins, strict=True)]
 
 
 def extract_main_text(pages: DataFrame, model: Boosted) -> DataFrame:
