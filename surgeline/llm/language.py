@@ -2,13 +2,16 @@
 
 A word (a run of letters, in lower case) has features: itself (lexicon), affixes of one to three
 letters and its 2- and 3-grams, hashed. Feature weights and label transitions are learned together
-from code-switched sequences made of pieces of labelled documents; at most SAMPLE documents are used,
-the first by a hash of their content, and their whole texts. Forward-backward gives each word's
-probabilities; a document's language is the one with the highest average, the average its score.
+from code-switched sequences made of pieces of labelled documents. The training sample is bounded: of
+each language at most SAMPLE distinct texts, the first by a hash of their content, and of each text
+TRAINING_CHARS characters, drawn as LINES pieces spread over it. Copies count once and each language is
+drawn by itself, so neither repetition nor a rare language empties it at any size. Forward-backward
+gives each word's probabilities; a document's language is the one with the highest average, the average
+its score.
 
 Long chains are cut into segments of SEGMENT words: a segment's product of step matrices carries the
-forward and backward messages over it, which gives the same probabilities as one long walk. A null
-text or one without a letter is `und` with score 0. Ties go to the first label in order. Without
+forward and backward messages over it, which gives the same probabilities as one long walk. Segments are
+worked off in groups of bounded size. A null text or one without a letter is `und` with score 0. Ties go to the first label in order. Without
 training rows every text is `und`. Rows are handled one by one; other columns are not read.
 """
 
@@ -21,13 +24,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_chunks, thinned
+from .common import text_chunks
 
 BUCKETS = 1 << 17
-SAMPLE = 1000
+SAMPLE = 300  # texts of a language
+TRAINING_CHARS, LINES = 4000, 8
+STEP_VALUES = 1 << 21  # numbers of step matrices held at once
 PIECE, SEQUENCE, SEGMENT = 20, 60, 32
 CACHE_WORDS = 400_000  # bounds memory
 WORD = re.compile(r"[^\W\d_]+")
@@ -35,7 +40,14 @@ UNKNOWN = "und"
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Runs of letters. Superscripts, fractions and Roman numeral signs are no letters, though they
+    count as word characters."""
+    found = WORD.findall(text.lower()) if text else []
+    return [part for w in found for part in ([w] if w.isalpha() else letters(w))]
+
+
+def letters(word: str) -> list[str]:
+    return "".join(c if c.isalpha() else " " for c in word).split()
 
 
 def features(word: str) -> list[int]:
@@ -88,17 +100,33 @@ class Crf:
         counts = -(-lengths // SEGMENT)
         first = np.cumsum(counts) - counts
         segment, slot = first[text_of] + place // SEGMENT, place % SEGMENT
-        steps = np.broadcast_to(np.eye(size), (int(counts.sum()), SEGMENT, size, size)).copy()
-        steps[segment, slot] = np.exp(self.moves - self.moves.max())[None] * e[:, None, :]
-        starts = place == 0
-        steps[segment[starts], slot[starts]] = np.broadcast_to(e[starts][:, None, :], (int(starts.sum()), size, size))
-        product = steps[:, 0]
-        for k in range(1, SEGMENT):
-            product = product @ steps[:, k]
-        product = product / np.maximum(product.max(axis=(1, 2), keepdims=True), 1e-300)
-
-        entering = np.full((len(steps), size), 1.0 / size)
-        leaving = np.ones((len(steps), size))
+        move, segments = np.exp(self.moves - self.moves.max()), int(counts.sum())
+        group = max(1, STEP_VALUES // (SEGMENT * size * size))
+        edges = np.searchsorted(segment, range(0, segments + group, group))  # of words, which come by segments
+
+        def steps_of(g: int) -> np.ndarray:
+            """Step matrices of a group of segments."""
+            part = slice(edges[g], edges[g + 1])
+            base, n = g * group, min(group, segments - g * group)
+            steps = np.broadcast_to(np.eye(size), (n, SEGMENT, size, size)).copy()
+            steps[segment[part] - base, slot[part]] = move[None] * e[part][:, None, :]
+            first_words = np.flatnonzero(place[part] == 0) + edges[g]
+            steps[segment[first_words] - base, slot[first_words]] = np.broadcast_to(e[first_words][:, None, :], (len(first_words), size, size))
+            return steps
+
+        groups, held = len(edges) - 1, {}
+        products = []
+        for g in range(groups):
+            steps = steps_of(g)
+            held = {g: steps} if groups == 1 else {}
+            product = steps[:, 0]
+            for k in range(1, SEGMENT):
+                product = product @ steps[:, k]
+            products.append(product / np.maximum(product.max(axis=(1, 2), keepdims=True), 1e-300))
+        product = np.concatenate(products)
+
+        entering = np.full((segments, size), 1.0 / size)
+        leaving = np.ones((segments, size))
         for k in range(1, int(counts.max())):
             at = first[counts > k] + k
             carried = np.einsum("bi,bij->bj", entering[at - 1], product[at - 1])
@@ -108,15 +136,19 @@ class Crf:
             carried = np.einsum("bij,bj->bi", product[at + 1], leaving[at + 1])
             leaving[at] = carried / carried.sum(axis=1, keepdims=True)
 
-        alphas, betas = np.empty((SEGMENT, len(steps), size)), np.empty((SEGMENT, len(steps), size))
-        alpha, beta = entering[:, None, :], leaving[:, :, None]
-        for k in range(SEGMENT):
-            alpha = alpha @ steps[:, k]
-            alphas[k] = alpha[:, 0]
-        for k in range(SEGMENT - 1, -1, -1):
-            betas[k] = beta[:, :, 0]
-            beta = steps[:, k] @ beta
-        joint = alphas[slot, segment] * betas[slot, segment]
+        joint = np.empty((total, size))
+        for g in range(groups):
+            steps = held[g] if g in held else steps_of(g)
+            mine, words = slice(g * group, g * group + len(steps)), slice(edges[g], edges[g + 1])
+            alphas, betas = np.empty((SEGMENT, len(steps), size)), np.empty((SEGMENT, len(steps), size))
+            alpha, beta = entering[mine, None, :], leaving[mine, :, None]
+            for k in range(SEGMENT):
+                alpha = alpha @ steps[:, k]
+                alphas[k] = alpha[:, 0]
+            for k in range(SEGMENT - 1, -1, -1):
+                betas[k] = beta[:, :, 0]
+                beta = steps[:, k] @ beta
+            joint[words] = alphas[slot[words], segment[words] - g * group] * betas[slot[words], segment[words] - g * group]
         joint /= np.maximum(joint.sum(axis=1, keepdims=True), 1e-300)
         return np.split(joint, np.cumsum(lengths)[:-1])
 
@@ -193,13 +225,28 @@ def held_out() -> str:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Crf:
-    """Learns from documents that are not held out and have a text, an id and a language."""
+    """Learns from documents that are not held out and have a text, an id and a language.
+
+    Only hashes are shuffled to find the texts, of which each task passes on at most `sample` of a
+    language (window group limit). The driver gets languages * sample * TRAINING_CHARS characters.
+    """
     usable = docs.select("doc_id", "text", "lang").where(f"lang is not null and text is not null and doc_id is not null and not ({held_out()})")
-    part = thinned(usable.select("text", "lang"), F.xxhash64("text"), sample).distinct()
-    chosen = part.orderBy(F.xxhash64("text"), "lang", "text").limit(sample).collect()
+    hashed = usable.select("lang", F.xxhash64("text").alias("_hash"), "text")
+    ranked = hashed.select("lang", "_hash").distinct().withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_hash")))
+    drawn = F.broadcast(ranked.where(F.col("_rank") <= sample).select("lang", "_hash"))  # languages * sample rows
+    parts = hashed.join(drawn, ["lang", "_hash"]).groupBy("lang", "_hash").agg(F.min(pieces("text")).alias("text"))
+    chosen = parts.orderBy("lang", "_hash").collect()
     return train([(r["text"], r["lang"]) for r in chosen])
 
 
+def pieces(text: str) -> Column:
+    """A text of at most TRAINING_CHARS characters, or LINES pieces spread evenly over a longer one."""
+    size = TRAINING_CHARS // LINES
+    starts = [F.floor(F.length(text) * k / LINES).cast("int") + 1 for k in range(LINES)]
+    spread = F.concat_ws(" ", *[F.substring(F.col(text), at, F.lit(size)) for at in starts])
+    return F.when(F.length(text) <= TRAINING_CHARS, F.col(text)).otherwise(spread)
+
+
 def predict_languages(docs: DataFrame, model: Crf) -> DataFrame:
     """(doc_id, lang_pred, score) of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
