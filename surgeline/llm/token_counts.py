@@ -8,8 +8,9 @@ without overlap therefore add up to the text's tokens.
 
 Sections are spans of code points, end exclusive. By default they are the text's lines, each with its
 newline; a null or empty text has none. Given sections may overlap or be empty; a span beyond the text
-is cut at its end, a null list means the lines. Repeated rows are counted each; other columns are not
-read.
+is cut at its ends, a null start is the text's first character, a null end its last, a null section is
+empty and stands at 0. A null list means the lines. Repeated rows are counted each; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -50,8 +51,10 @@ def attribute(encoder: Encoder, sizes: np.ndarray, text: str, sections: list | N
     if sections is None:
         starts, ends = lines(text)
     else:
-        starts = np.minimum(np.array([s["start"] for s in sections], np.int64), len(text))
-        ends = np.maximum(np.minimum(np.array([s["end"] for s in sections], np.int64), len(text)), starts)
+        given = [{"start": 0, "end": 0} if s is None else s for s in sections]
+        starts = np.clip(np.array([s["start"] or 0 for s in given], np.int64), 0, len(text))
+        ends = np.array([len(text) if s["end"] is None else s["end"] for s in given], np.int64)
+        ends = np.maximum(np.minimum(ends, len(text)), starts)
     if not text:
         return [starts, ends, np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)]
     first, last = token_spans(encoder, sizes, text)

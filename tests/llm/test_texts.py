@@ -265,7 +265,7 @@ def node_model():
 def test_main_text_of_pages(spark, node_model):
     layouts = html_text.Layouts(77)
     parsed = [html_text.parse(layouts.page()) for _ in range(60)]
-    right = [html_text.collected(p, html_text.decode(p.parent, node_model.margins(html_text.node_features(p)))) == html_text.collected(p, html_text.node_labels(p)) for p in parsed]
+    right = [html_text.collected(p, html_text.decode_page(p, node_model.margins(html_text.node_features(p)))) == html_text.collected(p, html_text.node_labels(p)) for p in parsed]
     assert np.mean(right) > 0.9
     page = "<html><body><nav><ul><li><a href=/>Home</a><li><a href=/b>More</a></ul></nav><article><h1>A &amp; B</h1><p><b>One   two<br>three<p>Four, five.</p><div class='ad'>Buy now</div></article><section class=comments><p>Nice post, thanks a lot.</p></section><footer>&copy; me</footer>"
     rows = [(1, "u", page), (2, None, None), (3, "u", ""), (3, "u", ""), (None, "u", page), (4, "u", "<p>" * 500)]
