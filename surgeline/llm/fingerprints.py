@@ -37,7 +37,9 @@ from .wordscan import U, mix, scan
 LOW, HIGH = 0.001, 0.3
 SUBSETS, LEVELS = 40, 3
 HELD_TERMS = 1 << 19  # a counting task sends its terms on when it holds so many
+CANDIDATES = 1 << 22  # terms of 8 bytes to broadcast
 
+_limits = np.array([(1 << 64 - level) - 1 for level in range(64)], np.uint64)  # largest hash in a subset of a level
 _seeds = mix(np.arange(1, SUBSETS + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 
 
@@ -48,22 +50,26 @@ def term_sets(texts: list[str | None]) -> list[np.ndarray]:
     return [np.unique(words[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, documents) sums of what a task has read, sent on whenever they fill up."""
-    terms, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def _count_batches(batches: Iterator[pa.RecordBatch], low: float, chosen: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """(term, documents) sums of what a task has read, sent on whenever they fill up: of the chosen
+    terms, or else of those that `low` of the documents read hold."""
+    terms, counts, read = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+    fresh: list[np.ndarray] = []
 
     def packed() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(counts)], ["term", "documents"])
+        often = counts >= low * read
+        return pa.RecordBatch.from_arrays([pa.array(terms[often].view(np.int64)), pa.array(counts[often])], ["term", "documents"])
 
-    fresh: list[np.ndarray] = []
     for batch in text_chunks(batches):
-        fresh += term_sets(batch.column(0).to_pylist())
+        found = term_sets(batch.column(0).to_pylist())
+        fresh += found if chosen is None else [within(f, chosen) for f in found]
+        read += len(found)
         if sum(map(len, fresh)) > HELD_TERMS:
             terms, counts = _merged(terms, counts, fresh)
             fresh = []
             if len(terms) > HELD_TERMS:
                 yield packed()
-                terms, counts = terms[:0], counts[:0]
+                terms, counts, read = terms[:0], counts[:0], 0
     terms, counts = _merged(terms, counts, fresh)
     if len(terms):
         yield packed()
@@ -76,14 +82,25 @@ def _merged(terms: np.ndarray, counts: np.ndarray, fresh: list[np.ndarray]) -> t
     return known, np.bincount(at, weights, len(known)).astype(np.int64)
 
 
-def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> np.ndarray:
-    """Sorted hashes of the terms in the band; the frequencies count every document."""
+def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, candidates: int = CANDIDATES) -> np.ndarray:
+    """Sorted hashes of the terms in the band; the frequencies count every document.
+
+    Most terms are rare, so the text is read twice rather than all of them shuffled: a term that `low`
+    of all documents hold is in as large a share of what at least one task has read at a time, which
+    is all a first pass sends on; a second one counts those. If they are too many to broadcast, it
+    counts all terms.
+    """
+    texts, counts = docs.select("text"), "term long, documents long"
     total = docs.count()
-    counted = docs.select("text").mapInArrow(_count_batches, "term long, documents long")
+    often = materialize(texts.mapInArrow(partial(_count_batches, low=low, chosen=None), counts).select("term").distinct(), "candidates")
+    shared = docs.sparkSession.sparkContext.broadcast(_hashes(often) if often.count() <= candidates else None)
+    counted = texts.mapInArrow(lambda batches: _count_batches(batches, 0.0, shared.value), counts)
     frequency = counted.groupBy("term").agg(F.sum("documents").alias("documents"))
-    band = frequency.where(F.col("documents").between(low * total, high * total)).select("term")
-    kept = band.toArrow().column(0).to_numpy()  # bounded by average distinct terms / low
-    return np.sort(kept.astype(np.int64).view(np.uint64))
+    return _hashes(frequency.where(F.col("documents").between(low * total, high * total)))  # average distinct terms / low at most
+
+
+def _hashes(terms: DataFrame) -> np.ndarray:
+    return np.sort(terms.select("term").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
 def within(terms: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -93,13 +110,16 @@ def within(terms: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     return terms[chosen[at] == terms]
 
 
-def signatures(terms: np.ndarray, level: int) -> np.ndarray:
-    """16 bits a subset, 0 where it holds none of the terms. Each term's hash counts by its rank."""
-    drawn = mix(terms[:, None] ^ _seeds[None, :])
-    inside = drawn >> U(64 - level) == 0 if level else np.ones(drawn.shape, bool)
-    rank = np.cumsum(inside, axis=0).astype(np.uint64)
-    total = np.where(inside, mix(drawn + U(1)) * (U(2) * rank + U(1)), U(0)).sum(axis=0, dtype=np.uint64)
-    return np.where(inside.any(axis=0), np.maximum(mix(total) >> U(48), U(1)), U(0)).astype(np.uint16)
+def signatures(drawn: np.ndarray, subset: np.ndarray) -> np.ndarray:
+    """16 bits a subset, 0 where it holds none of the terms. `drawn` holds a hash for each term and
+    subset it is in, in the order of the terms; each counts by its rank in its subset."""
+    order = np.argsort(subset, kind="stable")
+    drawn, subset = drawn[order], subset[order]
+    held = np.bincount(subset, minlength=SUBSETS)
+    rank = np.arange(len(subset)) - (np.cumsum(held) - held)[subset]
+    total = np.zeros(SUBSETS, np.uint64)
+    np.add.at(total, subset, mix(drawn + U(1)) * (U(2) * rank.astype(np.uint64) + U(1)))
+    return np.where(held > 0, np.maximum(mix(total) >> U(48), U(1)), U(0)).astype(np.uint16)
 
 
 def fingerprint(terms: np.ndarray, chosen: np.ndarray) -> str:
@@ -110,8 +130,11 @@ def fingerprint(terms: np.ndarray, chosen: np.ndarray) -> str:
     own = within(terms, chosen)
     kind, used = ("b", own) if len(own) else ("a", terms)
     level = len(used).bit_length() - 1
-    found = np.concatenate([signatures(used, level + k) for k in range(LEVELS)])
-    return f"{kind}{level:02d}{found.astype('>u2').tobytes().hex()}"
+    drawn = mix(used[:, None] ^ _seeds[None, :])
+    term, subset = np.nonzero(drawn <= _limits[level])
+    drawn = drawn[term, subset]
+    found = [signatures(drawn[inside], subset[inside]) for inside in (drawn <= _limits[level + k] for k in range(LEVELS))]
+    return f"{kind}{level:02d}{np.concatenate(found).astype('>u2').tobytes().hex()}"
 
 
 def likeness(one: str, other: str) -> float:
@@ -193,7 +216,7 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     copies = F.monotonically_increasing_id()  # parts even equal rows, which any seam may divide
     dealt = rows.repartitionByRange(*order, copies).sortWithinPartitions(*order)
-    found = materialize(dealt.mapInArrow(partial(_judge_sorted, shared=shared), f"{RESULT}, {EDGES}"), "fingerprints")
+    found = materialize(dealt.mapInArrow(partial(_judge_sorted, shared=shared), f"{RESULT}, {EDGES}"), "fingerprints", compression="zstd")
     inner = found.where("edge is null").select(*NAMES[:7])
 
     firsts, lasts = found.where("edge = 'first'"), found.where("edge = 'last'")
