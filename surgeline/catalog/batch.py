@@ -75,7 +75,7 @@ def _cadenced(spark, d) -> DataFrame:
 
 def _scored(spark, d, policies=None) -> DataFrame:
     policies = policies or fx.policy_set()
-    return score_history(fx.snapshots(spark, d), fx.capacities(spark, policies), policies.max_lookback)
+    return score_history(fx.snapshots(spark, d), fx.capacities(spark, policies))
 
 
 def _given_state(scored: DataFrame) -> DataFrame:
@@ -207,12 +207,6 @@ def clean_snapshots(spark, d):
     return cols.clean_snapshots(_dirty(spark, d))
 
 
-@query
-def failure_isolation(spark, d):
-    """Unreadable rows are set aside; all others still come through."""
-    return cols.quarantine_snapshots(_dirty(spark, d)).select("event_id", "item_id", "cu_seconds_today")
-
-
 @query
 def pick_alias_profile(spark, d):
     """Pick the layout by the columns present, then read through it."""
@@ -523,6 +517,18 @@ def previous_snapshot(spark, d):
     return _show_snapshots(newest)
 
 
+@query
+def readings_as_of(spark, d):
+    """The reading that stood before each event, at the event's own time."""
+    asked = fx.table(spark, d, "events").select(
+        "event_id",
+        F.concat(F.lit("C"), (F.col("user_id") % 3).cast("string")).alias("capacity_key"),
+        F.col("event_type").alias("item_id"),
+        F.col("ts").cast("timestamp_ntz").alias("moment"),
+    )
+    return sn.readings_as_of(asked, fx.snapshots(spark, d)).select("event_id", *ITEM, "moment", "prev_ts", "prev_cu")
+
+
 def _latest(spark, d) -> tuple[DataFrame, DataFrame]:
     """The readings of the last day's final cycle, and those before it."""
     rows = fx.snapshots(spark, d)
@@ -737,7 +743,7 @@ def discard_count(spark, d):
 def empty_history_report(spark, d):
     policies = fx.policy_set()
     history = materialize(fx.intervals(spark, d), "intervals")
-    done = run_calibration(history, fx.capacities(spark), policies.max_lookback)
+    done = run_calibration(history, fx.capacities(spark))
     return done.report.select(
         "capacity_key", "days_of_history", "total_intervals", "would_alert", "would_throttle", "would_kill",
         "suggested_alert", "suggested_throttle", "suggested_kill", "suggested_min_cu",
@@ -788,7 +794,7 @@ def replay_baselines(spark, d):
 
 def _daily_scored(spark, d) -> DataFrame:
     policies = fx.daily_set()
-    return score_history(fx.daily_snapshots(spark, d), fx.capacities(spark, policies), policies.max_lookback, "year")
+    return score_history(fx.daily_snapshots(spark, d), fx.capacities(spark, policies), "year")
 
 
 @query
@@ -933,7 +939,7 @@ def calibrate_daily(spark, d):
     """Calibration of the daily log, whose items grow with the table."""
     policies = fx.daily_set()
     history = materialize(fx.daily_intervals(spark, d), "intervals")
-    done = run_calibration(history, fx.capacities(spark, policies), policies.max_lookback)
+    done = run_calibration(history, fx.capacities(spark, policies))
     return done.report.select(
         "capacity_key", "days_of_history", "total_intervals", "would_alert", "would_throttle", "would_kill",
         "suggested_alert", "suggested_throttle", "suggested_kill", "suggested_min_cu", joined("noisy_items"),
@@ -945,7 +951,7 @@ def replay_gates(spark, d):
     """All cycles with streak, cooldown and budget carried from one to the next."""
     policies = fx.policy_set()
     caps = fx.capacities(spark)
-    done = gate_history(score_history(fx.snapshots(spark, d), caps, policies.max_lookback), caps)
+    done = gate_history(score_history(fx.snapshots(spark, d), caps), caps)
     return _show_verdicts(done.anomalies)
 
 
@@ -953,7 +959,7 @@ def replay_gates(spark, d):
 def replay_state(spark, d):
     policies = fx.policy_set()
     caps = fx.capacities(spark)
-    done = gate_history(score_history(fx.snapshots(spark, d), caps, policies.max_lookback), caps)
+    done = gate_history(score_history(fx.snapshots(spark, d), caps), caps)
     return final_state(done.verdicts)
 
 

@@ -438,7 +438,8 @@ ORACLE = {
     ),
     "failure_isolation": statement(
         DIRTY,
-        "SELECT event_id, item_id, cu AS cu_seconds_today FROM dirty WHERE item_id IS NULL OR item_id = '' OR cu = 'n/a'",
+        "SELECT event_id, item_id, cu AS cu_seconds_today, CASE WHEN item_id IS NULL OR item_id = '' THEN 'no_item' ELSE 'unreadable_consumption' END AS reason "
+        "FROM dirty WHERE item_id IS NULL OR item_id = '' OR cu = 'n/a'",
     ),
     "pick_alias_profile": statement(
         HOURLY,
@@ -553,6 +554,11 @@ ORACLE = {
         f"SELECT {SNAPSHOT_COLUMNS} FROM snaps WHERE ts < TIMESTAMP '2024-01-30 12:00:00' "
         "QUALIFY row_number() OVER (PARTITION BY capacity_key, item_id ORDER BY ts DESC) = 1",
     ),
+    "readings_as_of": statement(
+        HOURLY + "asked AS (SELECT event_id, 'C' || (user_id % 3) AS capacity_key, event_type AS item_id, ts AS moment FROM events),",
+        "SELECT event_id, a.capacity_key, a.item_id, moment, s.ts AS prev_ts, s.cu_seconds_today AS prev_cu FROM asked a ASOF LEFT JOIN snaps s "
+        "ON a.capacity_key = s.capacity_key AND a.item_id = s.item_id AND a.moment > s.ts",
+    ),
     "interval_pairing": statement(
         HOURLY + LAST,
         "SELECT s.capacity_key, s.item_id, s.item_name, s.item_kind, s.workspace_id, s.workspace_name, p.ts AS window_start, "
@@ -752,6 +758,21 @@ daily AS (SELECT capacity_key, item_id, ts::DATE AS day, round(sum(cu_seconds),
         REPLAYED_HOURLY + OUTBOX,
         "SELECT * REPLACE (CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 'batch-0' ELSE 'batch-1' END AS run_id) FROM audit",
     ),
+    "action_ledger": statement(REPLAYED_HOURLY + OUTBOX, f"SELECT {ROW}, step, action, ok, detail, targets FROM results"),
+    "target_ledger": statement(
+        REPLAYED_HOURLY + OUTBOX,
+        f"SELECT {ROW}, action, target FROM plan JOIN running USING (capacity_key, item_id, window_end, action) WHERE refused IS NULL",
+    ),
+    "run_log": statement(
+        REPLAYED_HOURLY + OUTBOX,
+        """SELECT CASE WHEN s.ts < TIMESTAMP '2024-01-16' THEN 'batch-0' ELSE 'batch-1' END AS run_id, s.capacity_key, p.mode, s.ts AS window_end,
+          count(*) AS items_scanned, count(*) FILTER (g.tier > 0) AS anomalies, count(*) FILTER (d.action_taken) AS actions_taken,
+          count(*) FILTER (NOT c.comparable) AS skipped_intervals, count(c.item_id) = 0 AS bootstrap, 0 AS errors
+        FROM snaps s JOIN pol p USING (capacity_key) LEFT JOIN cad c ON c.capacity_key = s.capacity_key AND c.item_id = s.item_id AND c.window_end = s.ts
+          LEFT JOIN gated g ON g.capacity_key = s.capacity_key AND g.item_id = s.item_id AND g.window_end = s.ts
+          LEFT JOIN done d ON d.capacity_key = s.capacity_key AND d.item_id = s.item_id AND d.window_end = s.ts
+        GROUP BY ALL""",
+    ),
     "cycle_events": statement(
         SCORED_HOURLY
         + STATES

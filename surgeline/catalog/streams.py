@@ -10,19 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import naive
-from ..operators.intervals import derive_intervals, with_cadence
-from ..operators.report import first_cycles
 from ..operators.snapshots import dedup_latest_by_key
-from ..policy import policy_join
-from ..schemas import INTERVALS, ITEM, SNAPSHOTS, USAGE
+from ..schemas import ITEM, SNAPSHOTS, USAGE
 from ..session import scratch_path
 from ..sources.tables import WatchTables, expire_states
 from ..streaming.intervals import stream_intervals as intervals_of_stream
 from ..streaming.usage import usage_stream_cumulative as cumulative_of_stream
-from ..streaming.watch import watch
+from ..streaming.watch import process_batch, watch
 from . import fixture as fx
-from .batch import _scored, _show_events, _show_intervals, _state, query
+from .batch import ROW, _dirty, _scored, _show_events, _show_intervals, _state, query
 
+PERIOD = dt.date(2024, 1, 1), dt.date(2024, 2, 1)
 HALFWAY = dt.datetime(2024, 1, 16)
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
@@ -86,26 +84,23 @@ def usage_stream_cumulative(spark, d):
 
 @query
 def stream_intervals(spark, d):
-    out = scratch_path(spark, "stream-output")
+    store = WatchTables(spark, scratch_path(spark, "intervals"))
+    checkpoint = scratch_path(spark, "intervals-checkpoint")
 
     def start(stream: DataFrame):
-        writer = intervals_of_stream(stream).writeStream.outputMode("append").format("parquet")
-        writer = writer.option("path", out).option("checkpointLocation", f"{out}-checkpoint")
-        return writer.trigger(availableNow=True).start()
+        return intervals_of_stream(stream, store, checkpoint).trigger(availableNow=True).start()
 
     _feed(spark, _halves(fx.snapshots(spark, d)), SNAPSHOTS, start)
-    return _show_intervals(spark.read.schema(INTERVALS).parquet(out))
+    return _show_intervals(store.read_intervals(*PERIOD))
 
 
 def _watched(spark, d) -> WatchTables:
-    policies = fx.policy_set()
     store = WatchTables(spark, scratch_path(spark, "watch"))
     checkpoint = scratch_path(spark, "watch-checkpoint")
     caps, listed = fx.capacities(spark), fx.work(spark, d)
 
     def start(stream: DataFrame):
-        writer = watch(stream, store, caps, policies.max_lookback, checkpoint, listed)
-        return writer.trigger(availableNow=True).start()
+        return watch(stream, store, caps, checkpoint, listed).trigger(availableNow=True).start()
 
     _feed(spark, _halves(fx.snapshots(spark, d)), SNAPSHOTS, start)
     return store
@@ -123,12 +118,45 @@ def stream_gates(spark, d):
     return _watched(spark, d).load_states()
 
 
+@query
+def action_ledger(spark, d):
+    """The actions a watched stream has planned. Its second half is then run once more under another
+    number, from the state before it: the ledger lets nothing be planned twice."""
+    store = _watched(spark, d)
+    store.rewind(1)
+    process_batch(_halves(fx.snapshots(spark, d))[1], 2, store, fx.capacities(spark), fx.work(spark, d))
+    return store.read_actions().select(*ROW, "step", "action", "ok", "detail", "targets")
+
+
+@query
+def target_ledger(spark, d):
+    """What the planned actions of a watched stream would stop."""
+    return _watched(spark, d).read_targets().select(*ROW, "action", "target")
+
+
+@query
+def run_log(spark, d):
+    """How the cycles of a watched stream went."""
+    shown = ["run_id", "capacity_key", "mode", "window_end", "items_scanned", "anomalies", "actions_taken", "skipped_intervals", "bootstrap", "errors"]
+    return _watched(spark, d).read_runs().select(*shown)
+
+
 @query
 def bootstrap(spark, d):
-    """Cycles in which no item had an earlier reading yet."""
-    snapshots = fx.snapshots(spark, d)
-    cadenced = with_cadence(policy_join(derive_intervals(snapshots), fx.capacities(spark)))
-    return first_cycles(snapshots, cadenced, fx.capacities(spark))
+    """Cycles of a watched stream in which no item had an earlier reading yet."""
+    return _watched(spark, d).read_runs().filter("bootstrap").select("capacity_key", "window_end", "items_scanned")
+
+
+@query
+def failure_isolation(spark, d):
+    """Readings as unclean as they come go through the watch; what it set aside, and why."""
+    store = WatchTables(spark, scratch_path(spark, "watch"))
+    number = (F.col("event_id") % 3).cast("string")
+    dirty = _dirty(spark, d).withColumns({"capacity_key": F.concat(F.lit("C"), number), "capacity_id": F.concat(F.lit("cap-"), number)})
+    moment = fx.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    process_batch(dirty.join(moment, "event_id"), 0, store, fx.capacities(spark))
+    row = lambda c: F.get_json_object("row", f"$.{c}").alias(c)
+    return store.read_quarantine().select(row("event_id").cast("long").alias("event_id"), row("item_id"), row("cu_seconds_today"), "reason")
 
 
 @query

@@ -59,33 +59,94 @@ def baseline_join(intervals: DataFrame, baselines: DataFrame) -> DataFrame:
     return intervals.join(baselines, BUCKET, "left")
 
 
-def replay_baselines(intervals: DataFrame, capacities: DataFrame, max_lookback: int) -> DataFrame:
+def lookback_classes(capacities: DataFrame) -> list[int]:
+    """The distinct lookbacks of the enabled capacities, a handful of numbers from configuration."""
+    lookback = F.col("policy")["baseline"]["lookback_days"].alias("days")
+    return sorted(r["days"] for r in capacities.filter("enabled").select(lookback).distinct().collect())
+
+
+def replay_baselines(intervals: DataFrame, capacities: DataFrame) -> DataFrame:
     """For each comparable interval the baseline its own past gave it (1..lookback days before).
 
     All intervals of a day in a bucket share that past, so they are first folded into one row per
     day; the window then runs over days and is as long as the calendar, whatever the cadence.
-    Fold and window share one shuffle. `max_lookback` is the frame, each capacity's own lookback
-    narrows it.
+    Fold and window share one shuffle. Each lookback that a policy asks for has a frame of its
+    own, which collects nothing for the capacities of another: a capacity that looks back a week
+    does not carry the quarter of its neighbour, and none is cut short.
     """
-    key = [*BUCKET, "day"]
+    key = [*BUCKET, "_lookback", "day"]
     rest = [c for c in intervals.columns if c not in (*BUCKET, "policy", "sku", "cu_per_second")]
     days = (
         intervals.filter("comparable")
-        .select(*BUCKET, F.to_date("window_end").alias("day"), F.struct(*rest).alias("_row"))
+        .select(
+            *BUCKET,
+            F.col("policy")["baseline"]["lookback_days"].alias("_lookback"),
+            F.to_date("window_end").alias("day"),
+            F.struct(*rest).alias("_row"),
+        )
         .repartition(*BUCKET)
         .groupBy(*key)
         .agg(F.collect_list("_row").alias("_rows"))
         .withColumn("_day", F.unix_date("day"))
     )
-    past = Window.partitionBy(*BUCKET).orderBy("_day").rangeBetween(-max_lookback, -1)
-    of_day = F.struct("_day", F.transform("_rows", lambda r: r["normalized"]).alias("samples"))
+    by_day = Window.partitionBy(*BUCKET).orderBy("_day")
+    samples = F.transform("_rows", lambda r: r["normalized"])
+    frames = [
+        F.collect_list(F.when(F.col("_lookback") == n, samples)).over(by_day.rangeBetween(-n, -1))
+        for n in lookback_classes(capacities)
+    ]
     policies = capacities.filter("enabled").drop("capacity_id", "enabled")
-    framed = days.withColumn("_past", F.collect_list(of_day).over(past)).join(policies, "capacity_key")
-    oldest = F.col("_day") - F.col("policy")["baseline"]["lookback_days"]
+    framed = days.withColumn("_past", F.concat(*frames) if frames else F.array().cast("array<array<double>>"))
     recent = (
-        framed.withColumn("_recent", F.filter("_past", lambda d: d["_day"] >= oldest))
-        .withColumn("_samples", F.flatten(F.transform("_recent", lambda d: d["samples"])))
-        .withColumn("_days", F.size("_recent"))
+        framed.join(policies, "capacity_key")
+        .withColumn("_samples", F.flatten("_past"))
+        .withColumn("_days", F.size("_past"))
     )
     joined = [c for c in policies.columns if c != "capacity_key"]
     return _with_baseline(recent).select(*BUCKET, "baseline", *joined, F.inline("_rows"))
+
+
+# -- a history that grows batch by batch
+
+
+def sampling_basis(policy: Column) -> Column:
+    """The settings that stored samples depend on; under other settings they do not count."""
+    return F.concat_ws(
+        "|",
+        policy["interval_minutes"].cast("string"),
+        policy["baseline"]["bucket"],
+        policy["guards"]["max_interval_stretch"].cast("string"),
+    )
+
+
+def day_samples(intervals: DataFrame) -> DataFrame:
+    """Samples per item, bucket and day of comparable intervals (needs `with_cadence`), each with
+    its time, by which one that is folded again is known."""
+    key = [*BUCKET, F.to_date("window_end").alias("day"), sampling_basis(F.col("policy")).alias("basis")]
+    return intervals.filter("comparable").groupBy(*key).agg(
+        F.collect_list(F.struct(F.col("window_end").alias("at"), F.col("normalized").alias("value"))).alias("samples")
+    )
+
+
+def extend_baselines(fresh: DataFrame, stored: DataFrame, capacities: DataFrame) -> DataFrame:
+    """`replay_baselines` for fresh intervals only, from the stored `day_samples` of earlier ones.
+
+    Stored days are thinned to the fresh buckets before they move, and only days of fresh
+    intervals meet them: what was judged before is not judged again. A stored day may be spread
+    over several rows.
+    """
+    lookback = F.col("policy")["baseline"]["lookback_days"]
+    judged = fresh.filter("comparable").withColumn("day", F.to_date("window_end"))
+    wanted = judged.select(*BUCKET, "day", sampling_basis(F.col("policy")).alias("basis"), lookback.alias("_lookback")).distinct()
+    own = day_samples(fresh).select(*BUCKET, "day", "basis", "samples")
+    known = stored.select(*own.columns).join(wanted.select(*BUCKET, "basis").distinct(), [*BUCKET, "basis"], "left_semi")
+    past = known.unionByName(own).withColumnRenamed("day", "_day")
+    age = F.datediff("day", "_day")
+    met = wanted.join(past, [*BUCKET, "basis"]).filter((age >= 1) & (age <= F.col("_lookback")))
+    collected = met.groupBy(*BUCKET, "day").agg(
+        F.flatten(F.collect_list("samples")).alias("_found"), F.count_distinct("_day").alias("_days")
+    )
+    collected = collected.withColumn("_samples", F.transform(F.array_distinct("_found"), lambda x: x["value"])).drop("_found")
+    policies = capacities.filter("enabled").select("capacity_key", "policy")
+    baselines = _with_baseline(collected.join(policies, "capacity_key")).select(*BUCKET, "day", "baseline")
+    return judged.join(baselines, [*BUCKET, "day"], "left").drop("day")

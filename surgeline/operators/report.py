@@ -78,6 +78,27 @@ def run_summary(snapshots: DataFrame, intervals: DataFrame, anomalies: DataFrame
     )
 
 
+def run_log(summaries: DataFrame, failures: DataFrame, capacities: DataFrame, run_id: str, started_at: dt.datetime) -> DataFrame:
+    """Summaries of a run's cycles under its name, with the capacity's mode and how many of its rows
+    could not be read in the run."""
+    modes = capacities.select("capacity_key", F.col("policy")["mode"].alias("mode"))
+    errors = failures.filter("capacity_key IS NOT NULL").groupBy("capacity_key").agg(F.sum("rows").alias("_errors"))
+    joined = summaries.join(modes, "capacity_key").join(errors, "capacity_key", "left")
+    return joined.select(
+        F.lit(run_id).alias("run_id"),
+        naive(started_at).alias("started_at"),
+        "capacity_key",
+        "mode",
+        "window_end",
+        "items_scanned",
+        "anomalies",
+        "actions_taken",
+        "skipped_intervals",
+        "bootstrap",
+        F.coalesce("_errors", F.lit(0)).alias("errors"),
+    )
+
+
 def _enabled_only(df: DataFrame, capacities: DataFrame) -> DataFrame:
     return df.join(capacities.filter("enabled").select("capacity_key"), "capacity_key", "left_semi")
 

@@ -61,6 +61,43 @@ def previous_reading(snapshots: DataFrame, chunk: str = "day") -> DataFrame:
     return inner.unionByName(first).drop("_chunk", "_last_ts", "_last_cu")
 
 
+def readings_as_of(moments: DataFrame, snapshots: DataFrame, chunk: str = "day") -> DataFrame:
+    """Each item's newest reading strictly before each of many moments, as `prev_ts` and `prev_cu`,
+    NULL where there is none. `moments` has the item, `moment` and whatever else.
+
+    Moments and readings are merged in order of time, a moment before a reading of its own instant,
+    and each moment takes the last reading so far. That runs within calendar chunks of an item; what
+    a chunk inherits comes from one row per item and chunk. Equal moments of an item meet the
+    readings once, so an item asked for very often costs no more than its distinct moments.
+    """
+    asked = moments.select(*ITEM, F.col("moment").alias("_at")).dropna().distinct()
+    empty = [F.lit(None).cast("timestamp_ntz").alias("_ts"), F.lit(None).cast("double").alias("_cu")]
+    read = snapshots.select(*ITEM, F.col("ts").alias("_at"), F.col("ts").alias("_ts"), F.col("cu_seconds_today").alias("_cu"))
+    merged = read.unionByName(asked.select(*ITEM, "_at", *empty)).withColumn("_chunk", chunk_of(F.col("_at"), chunk))
+    chunked = merged.repartition(*ITEM, "_chunk")
+    so_far = (
+        Window.partitionBy(*ITEM, "_chunk")
+        .orderBy("_at", F.col("_ts").isNotNull())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    within = chunked.select(
+        *ITEM, "_chunk", "_at", "_ts", F.last("_ts", True).over(so_far).alias("_own_ts"), F.last("_cu", True).over(so_far).alias("_own_cu")
+    ).filter("_ts IS NULL")
+    tails = chunked.groupBy(*ITEM, "_chunk").agg(F.max("_ts").alias("_tail_ts"), F.max_by("_cu", "_ts").alias("_tail_cu"))
+    earlier = Window.partitionBy(*ITEM).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tails.select(
+        *ITEM, "_chunk", F.last("_tail_ts", True).over(earlier).alias("_carried_ts"), F.last("_tail_cu", True).over(earlier).alias("_carried_cu")
+    )
+    own = F.col("_own_ts").isNotNull()
+    found = within.join(carried, [*ITEM, "_chunk"], "left").select(
+        *ITEM,
+        F.col("_at").alias("moment"),
+        F.when(own, F.col("_own_ts")).otherwise(F.col("_carried_ts")).alias("prev_ts"),
+        F.when(own, F.col("_own_cu")).otherwise(F.col("_carried_cu")).alias("prev_cu"),
+    )
+    return moments.join(found, [*ITEM, "moment"], "left")
+
+
 def top_consumers(snapshots: DataFrame, by: list[str], limit: int) -> DataFrame:
     """Largest consumers per group; the limit applies in every map task before the shuffle."""
     largest = Window.partitionBy(*by).orderBy(F.desc("cu_seconds_today"), "item_id")

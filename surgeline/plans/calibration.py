@@ -24,7 +24,6 @@ class Calibration:
 def calibrate(
     intervals: DataFrame,
     capacities: DataFrame,
-    max_lookback: int,
     as_of: dt.date | None = None,
     days: int = 14,
 ) -> Calibration:
@@ -34,7 +33,7 @@ def calibrate(
         day = F.to_date("window_end")
         intervals = intervals.filter((day >= F.lit(as_of - dt.timedelta(days=days))) & (day <= F.lit(as_of)))
     discarded = discard_count(with_cadence(policy_join(intervals, capacities)))
-    scored = score_intervals(intervals, capacities, max_lookback)
+    scored = score_intervals(intervals, capacities)
     attached = [c for c in ("policy", "sku", "cu_per_second") if c in scored.columns]
     stored = policy_join(materialize(scored.drop(*attached), "calibration"), capacities)
     profiles = materialize(item_profile(stored), "profiles")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tiers import ALERT, NONE, THROTTLE, tier_label
-from ..operators.baselines import replay_baselines
+from ..operators.baselines import extend_baselines, replay_baselines
 from ..operators.cooldown import replay_cooldowns
 from ..operators.detect import assess, cycle_holds, dropped, idle_cycles, score, with_streak
 from ..operators.intervals import derive_intervals, with_cadence
@@ -27,14 +27,20 @@ class Replay:
     verdicts: DataFrame
 
 
-def score_intervals(intervals: DataFrame, capacities: DataFrame, max_lookback: int) -> DataFrame:
+def score_intervals(intervals: DataFrame, capacities: DataFrame) -> DataFrame:
     """Every comparable interval against the baseline its own past gave it."""
     cadenced = with_cadence(policy_join(intervals, capacities))
-    return score(replay_baselines(cadenced, capacities, max_lookback))
+    return score(replay_baselines(cadenced, capacities))
 
 
-def score_history(snapshots: DataFrame, capacities: DataFrame, max_lookback: int, chunk: str = "day") -> DataFrame:
-    return score_intervals(derive_intervals(snapshots, chunk), capacities, max_lookback)
+def score_fresh(fresh: DataFrame, stored: DataFrame, capacities: DataFrame) -> DataFrame:
+    """The same for fresh intervals alone, against stored day samples."""
+    cadenced = with_cadence(policy_join(fresh, capacities))
+    return score(extend_baselines(cadenced, stored, capacities))
+
+
+def score_history(snapshots: DataFrame, capacities: DataFrame, chunk: str = "day") -> DataFrame:
+    return score_intervals(derive_intervals(snapshots, chunk), capacities)
 
 
 def gate_history(

@@ -63,6 +63,29 @@ EVENTS = record(
 
 ALERTS = record(capacity_key=TEXT, item_id=TEXT, window_end=TIME, channel=TEXT, tier=WHOLE, text=TEXT)
 
+SAMPLES = record(capacity_key=TEXT, item_id=TEXT, bucket=TEXT, basis=TEXT, samples=T.ArrayType(record(at=TIME, value=NUMBER)))
+
+ACTIONS = record(
+    capacity_key=TEXT, item_id=TEXT, window_end=TIME, step=WHOLE, action=TEXT, ok=FLAG, detail=TEXT, targets=T.LongType()
+)
+TARGETS = record(capacity_key=TEXT, item_id=TEXT, window_end=TIME, step=WHOLE, action=TEXT, target=TEXT)
+
+RUNS = record(
+    run_id=TEXT,
+    started_at=TIME,
+    capacity_key=TEXT,
+    mode=TEXT,
+    window_end=TIME,
+    items_scanned=T.LongType(),
+    anomalies=T.LongType(),
+    actions_taken=T.LongType(),
+    skipped_intervals=T.LongType(),
+    bootstrap=FLAG,
+    errors=T.LongType(),
+)
+QUARANTINE = record(capacity_key=TEXT, reason=TEXT, row=TEXT)
+FAILURES = record(capacity_key=TEXT, reason=TEXT, rows=T.LongType(), readable=T.LongType())
+
 FREEZE_WINDOW = record(name=TEXT, days=WHOLES, start_hour=WHOLE, end_hour=WHOLE, days_of_month=WHOLES)
 CHANNEL = record(kind=TEXT, url=TEXT, min_tier=TEXT, timeout_seconds=WHOLE)
 

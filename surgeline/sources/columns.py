@@ -136,6 +136,30 @@ def quarantine_snapshots(df: DataFrame) -> DataFrame:
     return df.filter(~_readable(df))
 
 
+def isolate(df: DataFrame) -> DataFrame:
+    """Every row with a `reason` why it is no reading, NULL for a readable one. A source that marks
+    broken records in `_corrupt_record` has them set aside too."""
+    given = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
+    broken = F.col("_corrupt_record").isNotNull() if "_corrupt_record" in df.columns else F.lit(False)
+    reason = (
+        F.when(broken, "corrupt_record")
+        .when(~given("capacity_key"), "no_capacity")
+        .when(F.col("ts").cast("string").try_cast("timestamp_ntz").isNull(), "no_time")
+        .when(~given("item_id"), "no_item")
+        .when(_reading(F.col("cu_seconds_today")).isNull(), "unreadable_consumption")
+    )
+    return df.withColumn("reason", reason)
+
+
+def failure_marks(isolated: DataFrame) -> DataFrame:
+    """Unreadable rows of each capacity by reason, with how many of its rows could be read."""
+    counts = isolated.groupBy("capacity_key", "reason").agg(F.count("*").alias("rows"))
+    readable = counts.filter("reason IS NULL").select("capacity_key", F.col("rows").alias("_readable"))
+    failed = counts.filter("reason IS NOT NULL").alias("f")
+    joined = failed.join(readable.alias("r"), F.col("f.capacity_key").eqNullSafe(F.col("r.capacity_key")), "left")
+    return joined.select("f.capacity_key", "reason", "rows", F.coalesce("_readable", F.lit(0)).alias("readable"))
+
+
 def union_capacities(frames: dict[str, DataFrame]) -> DataFrame:
     """Stack per-capacity frames, labelled with their capacity; missing columns become NULL."""
     labelled = [df.withColumn("capacity_key", F.lit(key)) for key, df in frames.items()]

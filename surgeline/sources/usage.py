@@ -20,11 +20,18 @@ def semi_capacity(usage: DataFrame, capacities: DataFrame) -> DataFrame:
 
 
 def _summed(usage: DataFrame, **keys: Column) -> DataFrame:
-    """Use per item and key, with the newest description; combined before the shuffle."""
-    sums = usage.groupBy(*ITEM, *[c.alias(f"_{n}") for n, c in keys.items()]).agg(
-        F.max(F.struct("ts", *DESCRIBED)).alias("_newest"), F.sum("cu_seconds").alias("_used")
-    )
-    return sums.select(*ITEM, *[F.col(f"_newest.{c}").alias(c) for c in DESCRIBED], *[F.col(f"_{n}").alias(n) for n in keys], "_used")
+    """Use per item and key, with the newest description.
+
+    Descriptions are grouping keys at first: sums and times fit a hash aggregate, which combines the
+    log before the shuffle and never sorts it. Only the few rows left, one more wherever an item was
+    renamed within a key, are compared by description.
+    """
+    by = [*ITEM, *[f"_{n}" for n in keys]]
+    named = usage.select(*ITEM, *DESCRIBED, "ts", "cu_seconds", *[c.alias(f"_{n}") for n, c in keys.items()])
+    sums = named.groupBy(*by, *DESCRIBED).agg(F.max("ts").alias("_at"), F.sum("cu_seconds").alias("_part"))
+    newest = F.max(F.struct("_at", *DESCRIBED)).alias("_newest")
+    joined = sums.groupBy(*by).agg(newest, F.sum("_part").alias("_used"))
+    return joined.select(*ITEM, *[F.col(f"_newest.{c}").alias(c) for c in DESCRIBED], *[F.col(f"_{n}").alias(n) for n in keys], "_used")
 
 
 def daily_cumulative(usage: DataFrame, on: dt.date | None = None) -> DataFrame:

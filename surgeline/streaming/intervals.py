@@ -1,63 +1,31 @@
-"""Intervals from a stream of readings, with the last reading of each item in state."""
+"""Intervals from a stream of readings, with the last reading of each item carried over."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
-from ..schemas import ATTRIBUTES, INTERVALS, ITEM, NUMBER, TIME, record
+from ..operators.snapshots import dedup_latest_by_key
+from ..schemas import ITEM, SNAPSHOTS
+from ..session import materialize
+from ..sources.tables import WatchTables
+from .watch import fresh_intervals
 
 
-class IntervalProcessor(StatefulProcessor):
-    """Emits the consumption since the item's previous reading.
+def stream_intervals(snapshots: DataFrame, store: WatchTables, checkpoint: str, chunk: str = "day") -> DataStreamWriter:
+    """Keeps the store's intervals up to date: the consumption since each item's previous reading.
 
-    The first reading of an item yields nothing. A reading that is not newer than the last one
-    is ignored. One micro-batch holds few readings of an item, so these are sorted in memory.
+    The first reading of an item yields nothing, one that is not newer than the last is ignored.
+    A micro-batch is differenced by the batch operator, in calendar chunks, so that a backfill of
+    one hot item is spread over tasks; all that is carried from batch to batch is one reading an
+    item. A batch that is run again overwrites itself.
     """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", record(ts=TIME, cu=NUMBER))
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        readings = pd.concat(list(rows)).sort_values("ts").drop_duplicates("ts", keep="last")
-        if self._last.exists():
-            ts, cu = self._last.get()
-            readings = readings[readings["ts"] > pd.Timestamp(ts)]
-            starts = [pd.Timestamp(ts), *readings["ts"]][:-1]
-            before = [cu, *readings["cu_seconds_today"]][:-1]
-            closed = readings.assign(window_start=starts, _before=before)
-        else:
-            closed = readings.assign(
-                window_start=readings["ts"].shift(), _before=readings["cu_seconds_today"].shift()
-            ).iloc[1:]
-        if len(readings):
-            newest = readings.iloc[-1]
-            self._last.update((newest["ts"].to_pydatetime(), float(newest["cu_seconds_today"])))
-        if len(closed):
-            now = closed["cu_seconds_today"]
-            same_day = closed["window_start"].dt.date == closed["ts"].dt.date
-            grown = now >= closed["_before"]
-            used = now.where(~(same_day & grown), now - closed["_before"]).clip(lower=0.0)
-            yield closed.assign(window_end=closed["ts"], cu_seconds=used)[INTERVALS.names]
-
-    def close(self) -> None:
-        pass
-
-
-def stream_intervals(snapshots: DataFrame) -> DataFrame:
-    """Append-mode intervals. Needs the RocksDB state store provider."""
-    columns = [*ITEM, *ATTRIBUTES, "ts", "cu_seconds_today"]
-    return (
-        snapshots.select(*columns)
-        .groupBy(*ITEM)
-        .transformWithStateInPandas(
-            statefulProcessor=IntervalProcessor(),
-            outputStructType=INTERVALS,
-            outputMode="Append",
-            timeMode="None",
-        )
-    )
+    def run(batch: DataFrame, number: int) -> None:
+        newest = dedup_latest_by_key(batch.select(*SNAPSHOTS.names), [*ITEM, "ts"], [F.desc("cu_seconds_today")])
+        readings = materialize(newest, "readings")
+        store.write_intervals(fresh_intervals(readings, store.load_last_readings(before=number), chunk), number)
+        store.save_last_readings(readings, number)
+
+    return snapshots.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

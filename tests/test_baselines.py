@@ -5,15 +5,16 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from surgeline.operators.baselines import baseline_history, compute_baselines, replay_baselines
+from surgeline.operators.baselines import baseline_history, compute_baselines, day_samples, extend_baselines, lookback_classes, replay_baselines
 from surgeline.operators.intervals import with_cadence
-from surgeline.policy import policy_join
+from surgeline.policy import PolicySet, policy_join
+from surgeline.schemas import INTERVALS
 
-DAY = dt.date(2026, 7, 22)
+DAY = dt.date(2029, 8, 15)
 
 
-def at(day, hour=14, minute=0):
-    return dt.datetime(2026, 7, day, hour, minute)
+def at(day, hour=9, minute=0):
+    return dt.datetime(2029, 8, day, hour, minute)
 
 
 def baselines(make, rows, **policy):
@@ -24,31 +25,31 @@ def baselines(make, rows, **policy):
 
 
 def test_gap_is_left_out(make):
-    rows = [{"start": at(20)}, {"start": at(20, 14, 15), "minutes": 1425}]
-    b = baselines(make, rows, baseline={"method": "mean", "trim_top_percent": 0.0})["item-a", "h14"]
+    rows = [{"start": at(13)}, {"start": at(13, 9, 15), "minutes": 700}]
+    b = baselines(make, rows, baseline={"method": "mean", "trim_top_percent": 0.0})["a1", "h9"]
     assert (b.value, b.samples, b.days) == (1000.0, 1, 1)
 
 
 def test_irregular_cadence(make):
-    rows = [{"start": at(20), "cu": 2000, "minutes": 30}, {"start": at(21), "cu": 1000}]
-    b = baselines(make, rows, baseline={"method": "mean", "trim_top_percent": 0.0})["item-a", "h14"]
-    assert (b.value, b.days) == (1000.0, 2)
+    rows = [{"start": at(13), "cu": 1800, "minutes": 20}, {"start": at(14), "cu": 650}]
+    b = baselines(make, rows, baseline={"method": "mean", "trim_top_percent": 0.0})["a1", "h9"]
+    assert (b.value, b.days) == (1000.0, 2)  # 1800 in 20 minutes are 1350 in 15
 
 
 def test_buckets_do_not_mix(make):
-    found = baselines(make, [{"start": at(20)}, {"start": at(20, 3), "cu": 9}])
-    assert found["item-a", "h14"].samples == 1 and found["item-a", "h3"].value == 9.0
+    found = baselines(make, [{"start": at(13)}, {"start": at(12, 3), "cu": 9}])
+    assert found["a1", "h9"].samples == 1 and found["a1", "h3"].value == 9.0
 
 
 def test_current_day_and_old_days_are_no_history(make):
-    assert baselines(make, [{"start": at(22)}, {"start": at(14)}]) == {}
-    assert baselines(make, [{"start": at(15)}])["item-a", "h14"].days == 1
+    assert baselines(make, [{"start": at(15)}, {"start": at(7)}]) == {}
+    assert baselines(make, [{"start": at(8)}])["a1", "h9"].days == 1
 
 
 def test_trimming_removes_the_spike(make):
-    rows = [{"start": at(18 + i), "cu": cu} for i, cu in enumerate([100, 100, 100, 10000])]
-    b = baselines(make, rows, baseline={"method": "mean", "trim_top_percent": 25.0})["item-a", "h14"]
-    assert (b.value, b.samples) == (100.0, 4)
+    rows = [{"start": at(9 + i), "cu": cu} for i, cu in enumerate([60, 8800, 50, 70])]
+    b = baselines(make, rows, baseline={"method": "mean", "trim_top_percent": 25.0})["a1", "h9"]
+    assert (b.value, b.samples) == (60.0, 4)
 
 
 def summary(values, method, trim):
@@ -70,13 +71,13 @@ def test_replay_equals_a_plain_walk(make, method, bucket):
     rows = []
     for item in "ab":
         for day in range(1, 21):
-            for hour in (3, 14):
+            for hour in (3, 9):
                 for quarter in range(rng.randint(0, 4)):
                     rows.append({"item": item, "start": at(day, hour, quarter * 10), "minutes": 10, "cu": rng.randint(1, 5000) / 4})
     caps = make.capacities(baseline={"method": method, "bucket": bucket, "lookback_days": 9, "trim_top_percent": 20.0})
     cadenced = with_cadence(policy_join(make.intervals(*rows), caps))
     found = {
-        (r.item_id, r.window_end): r.baseline for r in replay_baselines(cadenced, caps, 12).collect()
+        (r.item_id, r.window_end): r.baseline for r in replay_baselines(cadenced, caps).collect()
     }
     assert len(found) == len(rows)
     for r in rows:
@@ -94,3 +95,36 @@ def test_replay_equals_a_plain_walk(make, method, bucket):
         assert b.samples == len(same)
         assert b.days == len({h["start"].date() for h in same})
         assert b.value == pytest.approx(summary([h["cu"] * 1.5 for h in same], method, 20.0), rel=1e-12)
+
+
+def test_each_capacity_looks_back_as_far_as_it_asks(spark):
+    """Two lookbacks at once, the longer one ninety days; neither is cut, whoever stands beside it."""
+    settings = {"interval_minutes": 15, "guards": {"min_cu_seconds": 0.0}}
+    listed = [{"key": k, "id": k, "overrides": {"baseline": {"lookback_days": n, "method": "mean", "trim_top_percent": 0.0}}} for k, n in (("near", 3), ("far", 90))]
+    caps = PolicySet(listed, settings).frame(spark)
+    assert lookback_classes(caps) == [3, 90]
+    start = dt.datetime(2029, 1, 1, 9)
+    days = [n for n in range(100) if n % 7 != 5]
+    rows = [(k, "a", "A", "Model", "w", "W", start + dt.timedelta(days=n), start + dt.timedelta(days=n, minutes=15), float(n * n % 101)) for k in ("near", "far") for n in days]
+    cadenced = with_cadence(policy_join(spark.createDataFrame(rows, INTERVALS), caps))
+    found = {(r.capacity_key, (r.window_end.date() - start.date()).days): r.baseline for r in replay_baselines(cadenced, caps).collect()}
+    for key, lookback in (("near", 3), ("far", 90)):
+        for n in days:
+            past = [m * m % 101 for m in days if 1 <= n - m <= lookback]
+            b = found[key, n]
+            assert (b is None) == (not past) and (not past or (b.samples, b.days) == (len(past), len(past)) and b.value == pytest.approx(statistics.fmean(past)))
+
+
+def test_extended_baselines_equal_replayed_ones(make):
+    """Stored day by day, some days in two parts, one part twice, and samples under other settings."""
+    rng = random.Random(4)
+    rows = [{"item": i, "start": at(d, 9, 10 * q), "minutes": 10, "cu": rng.randint(1, 900)} for i in "ab" for d in range(1, 21) for q in range(rng.randint(0, 4))]
+    caps = make.capacities(baseline={"lookback_days": 6})
+    cadenced = with_cadence(policy_join(make.intervals(*rows), caps))
+    expected = {(r.item_id, r.window_end): r.baseline for r in replay_baselines(cadenced, caps).collect()}
+    early, late = (cadenced.filter(c) for c in ("day(window_end) <= 15", "day(window_end) > 15"))
+    half = day_samples(early.filter("minute(window_end) < 25"))
+    other = day_samples(early).withColumn("basis", F.lit("60|hour_of_day|2.0"))
+    stored = half.unionByName(day_samples(early.filter("minute(window_end) >= 25"))).unionByName(half).unionByName(other)
+    found = {(r.item_id, r.window_end): r.baseline for r in extend_baselines(late, stored, caps).collect()}
+    assert found == {k: v for k, v in expected.items() if k[1].day > 15} and found

@@ -8,7 +8,7 @@ from surgeline.operators.detect import advance_state, assess, capacity_guard, cy
 from surgeline.operators.intervals import with_cadence
 from surgeline.policy import policy_join
 
-T0 = dt.datetime(2026, 7, 22, 14, 0)
+T0 = dt.datetime(2029, 8, 15, 9, 0)
 NOW = T0 + dt.timedelta(minutes=15)
 
 
@@ -39,74 +39,74 @@ def test_tiny_consumption(make):
 
 
 def test_few_days(make):
-    assert verdict(judged(make, [{"cu": 5000}], (1000.0, 2), baseline={"min_days": 4})) == (3, 0, ["insufficient_baseline"])
+    assert verdict(judged(make, [{"cu": 7200}], (1000.0, 2), baseline={"min_days": 4})) == (3, 0, ["insufficient_baseline"])
 
 
 def test_observe(make):
-    assert verdict(judged(make, [{"cu": 5000}], mode="observe")) == (3, 1, ["observe_mode"])
+    assert verdict(judged(make, [{"cu": 7200}], mode="observe")) == (3, 1, ["observe_mode"])
 
 
 @pytest.mark.parametrize(
     "protect, held",
     [
-        ({"name_patterns": ["antt"]}, True),
-        ({"name_patterns": ["(?i)relatório.*ANTT$"]}, True),
-        ({"name_patterns": ["RELATÓRIO"]}, True),
-        ({"workspace_ids": ["ws-1"]}, True),
-        ({"item_kinds": ["SemanticModel"]}, True),
-        ({"item_ids": ["item-a"]}, True),
+        ({"name_patterns": ["kosten"]}, True),
+        ({"name_patterns": ["(?i)übersicht.*KOSTEN$"]}, True),
+        ({"name_patterns": ["ÜBERSICHT"]}, True),
+        ({"workspace_ids": ["w3"]}, True),
+        ({"item_kinds": ["Model"]}, True),
+        ({"item_ids": ["a1"]}, True),
         ({"item_ids": ["other"], "name_patterns": ["nothing"]}, False),
     ],
 )
 def test_protected(make, protect, held):
-    rows = judged(make, [{"cu": 5000, "name": "Relatório ANTT"}], protect=protect)
+    rows = judged(make, [{"cu": 7200, "name": "Übersicht der Kosten"}], protect=protect)
     assert verdict(rows) == ((3, 1, ["protected"]) if held else (3, 3, []))
 
 
 def test_streak_holds_the_first_breach(make):
     guards = {"consecutive_breaches": 2}
-    first = judged(make, [{"cu": 5000}], guards=guards)
+    first = judged(make, [{"cu": 7200}], guards=guards)
     assert verdict(first) == (3, 1, ["awaiting_consecutive_breaches"])
     state = advance_state(first).first()
     assert (state.streak, state.last_tier, state.last_action_ts) == (1, "kill", None)
-    second = judged(make, [{"cu": 5000}], state=[("item-a", 1, None)], guards=guards)
+    second = judged(make, [{"cu": 7200}], state=[("a1", 1, None)], guards=guards)
     assert verdict(second) == (3, 3, [])
     assert advance_state(second).first().last_action_ts == NOW
 
 
 def test_normal_interval_resets_the_streak(make):
-    rows = judged(make, [{"cu": 1050}], state=[("item-a", 5, None)])
+    rows = judged(make, [{"cu": 1100}], state=[("a1", 5, None)])
     assert verdict(rows) == (0, 0, [])
     assert advance_state(rows).first().streak == 0
 
 
-@pytest.mark.parametrize("minutes, held", [(10, True), (60, False), (90, False)])
+@pytest.mark.parametrize("minutes, held", [(0, True), (59, True), (60, False), (200, False)])
 def test_cooldown(make, minutes, held):
-    state = [("item-a", 0, NOW - dt.timedelta(minutes=minutes))]
-    rows = judged(make, [{"cu": 5000}], state=state, guards={"cooldown_minutes": 60})
+    state = [("a1", 0, NOW - dt.timedelta(minutes=minutes))]
+    rows = judged(make, [{"cu": 7200}], state=state, guards={"cooldown_minutes": 60})
     assert verdict(rows) == ((3, 1, ["cooldown"]) if held else (3, 3, []))
 
 
 @pytest.mark.parametrize(
     "window, held",
     [
-        ({"days_of_month": [22]}, True),
+        ({"days_of_month": [15]}, True),
         ({"start_hour": 1, "end_hour": 6}, False),
-        ({"start_hour": 14, "end_hour": 15}, True),
+        ({"start_hour": 9, "end_hour": 10}, True),
         ({"days": [2]}, True),
         ({"days": [3]}, False),
         ({"days": []}, True),
     ],
 )
 def test_freeze(make, window, held):
-    rows = judged(make, [{"cu": 5000}], freeze_windows=[{"name": "close"} | window])
+    rows = judged(make, [{"cu": 7200}], freeze_windows=[{"name": "close"} | window])
     assert verdict(rows) == ((3, 1, ["freeze_window:close"]) if held else (3, 3, []))
 
 
 def test_reasons_keep_their_order(make):
     rows = judged(
-        make, [{"cu": 5000}], state=[("item-a", 0, NOW - dt.timedelta(minutes=1))], mode="observe",
-        protect={"item_ids": ["item-a"]}, freeze_windows=[{"name": "x"}],
+        make, [{"cu": 7200}], state=[("a1", 0, NOW - dt.timedelta(minutes=1))], mode="observe",
+        protect={"item_ids": ["a1"]}, freeze_windows=[{"name": "x"}],
         guards={"cooldown_minutes": 60, "consecutive_breaches": 3},
     )
     expected = ["protected", "observe_mode", "freeze_window:x", "cooldown", "awaiting_consecutive_breaches"]
@@ -115,7 +115,7 @@ def test_reasons_keep_their_order(make):
 
 @pytest.mark.parametrize("items, effective", [(20, 1), (6, 1), (5, 3), (3, 3)])
 def test_budget(make, items, effective):
-    rows = run_budget(judged(make, [{"cu": 5000, "item": f"i{i}"} for i in range(items)])).collect()
+    rows = run_budget(judged(make, [{"cu": 7200, "item": f"i{i}"} for i in range(items)])).collect()
     assert len(rows) == items and {r.effective_tier for r in rows} == {effective}
     assert {tuple(r.suppressions) for r in rows} == {("max_actions_per_run",) if effective == 1 else ()}
 
@@ -130,5 +130,5 @@ def test_utilization_floor(make, cu, effective):
 
 
 def test_floor_without_sku_is_inactive(make):
-    rows = judged(make, [{"cu": 5000}], guards={"min_capacity_utilization_percent": 60.0})
+    rows = judged(make, [{"cu": 7200}], guards={"min_capacity_utilization_percent": 60.0})
     assert cycle_gates(rows).first().effective_tier == 3

@@ -6,7 +6,7 @@ from surgeline.operators.baselines import baseline_history  # noqa: F401
 from surgeline.schemas import EVENTS
 from surgeline.sources.tables import WatchTables, merge_states
 
-T0 = dt.datetime(2026, 7, 22, 14, 0)
+T0 = dt.datetime(2029, 8, 15, 9, 0)
 DAY = dt.timedelta(days=1)
 
 
@@ -35,19 +35,19 @@ def test_intervals_by_day_and_hour(store, make):
     def count(**kw):
         return store.read_intervals(day, day + DAY, **kw).count()
 
-    assert (count(hours=[14]), count(), count(capacity_key="other")) == (1, 2, 0)
+    assert (count(hours=[9]), count(), count(capacity_key="other")) == (1, 2, 0)
     row = store.read_intervals(day, day + DAY, hours=[3]).first()
     assert (row.day, row.hour, row.dow) == (day, 3, 2)
 
 
 def test_interval_reads_prune_partitions(store, make):
     store.write_intervals(make.intervals({"start": T0}))
-    plan = store.read_intervals(T0.date(), T0.date() + DAY, "F64", [14])._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(day" in plan and "PushedFilters: [" in plan and "EqualTo(capacity_key,F64)" in plan
+    plan = store.read_intervals(T0.date(), T0.date() + DAY, "north", [9])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "PushedFilters: [" in plan and "EqualTo(capacity_key,north)" in plan
 
 
 def test_rewritten_batch_leaves_no_duplicate_events(store, spark):
-    row = (T0, "r", "F64", "observe", "a", "A", "Dataset", "w", "kill", "alert", 2.0, 1.0, 0.5, 7, 0, "", "", "")
+    row = (T0, "r", "north", "observe", "a", "A", "Dataset", "w", "kill", "alert", 2.0, 1.0, 0.5, 7, 0, "", "", "")
     for _ in range(2):
         store.write_events(spark.createDataFrame([row], EVENTS), 3)
     assert store.read_events().count() == 1
@@ -74,7 +74,7 @@ def test_prune_keeps_the_rest_of_the_cutoff_day(store, make):
     store.write_snapshots(make.snapshots(*[("a", t, 1) for t in times]))
     assert store.prune_snapshots(T0) == 2
     assert [v[1] for v in values(store.read_snapshots())] == [T0, T0 + DAY]
-    assert store._children("snapshots").count("day=2026-07-21") == 0
+    assert store._children("snapshots").count("day=2029-08-14") == 0
     assert store.prune_snapshots(T0) == 0
 
 
