@@ -1,16 +1,18 @@
-"""Quality rules judged by isolation forests.
-
-`rule_statistics` measures each text in one pass. Two forests isolate rows of the rules' ratios, one
-grown on good and one on bad labelled rows; no ratio is cut at its rule's limit. Random splits cover
-the range of both, so a row far from a forest's own rows ends on a short path there. The score
-compares the two: it is high for a row that good ones isolate and bad ones do not. Each forest grows
-on a bounded sample (TREES trees of at most SUBSAMPLE rows, from at most SAMPLE rows of its label).
-The threshold is calibrated on all labelled rows: of the scores that reject at most `tolerance` of
-the good rows, the one that rejects most bad rows.
-
-A null or empty text has no words and fails the base rule. Without labels the first forest grows on
-all rows, and without bad ones nothing but the base rule rejects. Rows are judged one by one, so
-repeated rows get equal verdicts. Other columns are not read.
+"""Quality rules judged by an isolation forest.
+
+`rule_statistics` measures each text in one pass. The forest isolates rows of the rules' ratios, none
+cut at its rule's limit: a row that few random splits part from all others is anomalous, and its score
+2**(-path / usual path) is high. Splits fall anywhere within a ratio's whole possible range, not only
+among the rows the forest has seen, so a kind of text that neither the sample nor any label holds ends
+on a short path too. The forest grows on good labelled rows, a bounded sample (TREES trees of at most
+SUBSAMPLE rows, from at most SAMPLE rows); without labels on all rows.
+
+The threshold is calibrated on all labelled rows: the lowest score that rejects at most `tolerance` of
+the good ones; labelled bad rows then say how many of them it rejects (`Judge.caught`).
+
+A null or empty text has no words and fails the base rule. Without labelled good rows nothing but the
+base rule rejects. Rows are judged one by one, so repeated rows get equal verdicts. Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from .common import text_chunks, thinned
 from .wordscan import Scan, scan, windows
 
 TREES, SUBSAMPLE, SAMPLE = 100, 256, 4096
-TOLERANCE = 0.002
+TOLERANCE = 0.005
 BINS = 2000
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_digits", "n_marks", "n_lines"]
 SYMBOLS = b"#*$%&|<>"
@@ -114,10 +116,12 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 SYMBOLS_PER_WORD, MARKS_PER_WORD = 0.1, 0.6
 UPPER_SHARE, DIGIT_SHARE = 0.3, 0.2
 DUPLICATE_LINES, REPEATED_WORDS = 0.5, 0.4
+#: Beyond these the unbounded ratios count as this much: marks a word, characters a word.
+MOST_MARKS, MOST_CHARS = 20, 100
 
 
 def features(stats: dict[str, np.ndarray]) -> np.ndarray:
-    """Each share as a multiple of its rule's limit, word length and number of words, on log scales."""
+    """Each share as a multiple of its rule's limit, and word length, on log scales."""
     s = {k: np.asarray(v, float) for k, v in stats.items()}
     words, chars, lines = np.maximum(s["n_words"], 1), np.maximum(s["word_chars"], 1), np.maximum(s["n_lines"], 1)
     shares = [
@@ -128,9 +132,12 @@ def features(stats: dict[str, np.ndarray]) -> np.ndarray:
         s["n_dup_lines"] / lines / DUPLICATE_LINES,
         s["n_repeat_words"] / words / REPEATED_WORDS,
         s["word_chars"] / words,
-        s["n_words"],
     ]
-    return np.log1p(np.column_stack(shares))
+    return np.minimum(np.log1p(np.column_stack(shares)), HIGHEST)
+
+
+HIGHEST = np.log1p([MOST_MARKS / SYMBOLS_PER_WORD, MOST_MARKS / MARKS_PER_WORD, 1 / UPPER_SHARE, 1 / DIGIT_SHARE, 1 / DUPLICATE_LINES, 1 / REPEATED_WORDS, MOST_CHARS])
+LOWEST = np.zeros(len(HIGHEST))
 
 
 def usual_path(n: float) -> float:
@@ -190,21 +197,14 @@ def grow(rows: np.ndarray, low: np.ndarray, high: np.ndarray, seed: int = 7, tre
 
 @dataclass
 class Judge:
-    """The forests of good and of bad rows; one without rows isolates everything at once."""
+    """A forest with its threshold, and the share of labelled bad rows that this rejects."""
 
-    good: Forest
-    bad: Forest
+    forest: Forest
     threshold: float = 1.01
+    caught: float = 0.0
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
-        good, bad = self.good.scores(rows), self.bad.scores(rows)
-        return good / (good + bad)
-
-
-def contrast(good: np.ndarray, bad: np.ndarray) -> Judge:
-    both = np.concatenate([good, bad])
-    low, high = (both.min(axis=0), both.max(axis=0)) if len(both) else (None, None)
-    return Judge(grow(good, low, high), grow(bad, low, high))
+        return self.forest.scores(rows) if self.forest.trees else np.zeros(len(rows))
 
 
 def score_column(forest: Judge) -> Column:
@@ -216,7 +216,7 @@ def score_column(forest: Judge) -> Column:
 
 
 def fit(stats: DataFrame, labels: DataFrame, tolerance: float = TOLERANCE) -> Judge:
-    """Forests and threshold. A row counts as good or bad by its label's quality; of repeated labels
+    """Forest and threshold. A row counts as good or bad by its label's quality; of repeated labels
     of one document the lowest holds."""
     quality = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     joined = stats.join(quality, "doc_id").where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
@@ -227,27 +227,29 @@ def fit(stats: DataFrame, labels: DataFrame, tolerance: float = TOLERANCE) -> Ju
         taken = thinned(rows, order, SAMPLE).orderBy(order).limit(SAMPLE).toPandas()
         return features({c: taken[c].to_numpy() for c in STATISTICS})
 
-    good, bad = sample(known.where("quality = 1")), sample(known.where("quality = 0"))
-    forest = contrast(good if len(good) or len(bad) else sample(stats.where("n_words > 0")), bad)
-    binned = F.floor(score_column(forest) * BINS).cast("int").alias("bin")
+    good = sample(known.where("quality = 1"))
+    rows = good if len(good) else sample(stats.where("n_words > 0"))
+    judge = Judge(grow(rows, LOWEST, HIGHEST))
+    binned = F.floor(score_column(judge) * BINS).cast("int").alias("bin")
     counts = known.select("quality", binned).groupBy("bin").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
-    forest.threshold = calibrate(counts.collect(), tolerance)  # at most BINS + 1 rows
-    return forest
+    judge.threshold, judge.caught = calibrate(counts.collect(), tolerance)  # at most BINS + 1 rows
+    return judge
 
 
-def calibrate(counts: list, tolerance: float) -> float:
-    """Of the edges above which at most `tolerance` of the good rows lie, one with the most bad rows
-    above it: midway from the last bad row taken to the next score. 1.01 rejects nothing."""
+def calibrate(counts: list, tolerance: float) -> tuple[float, float]:
+    """The lowest edge above which at most `tolerance` of the good rows lie, and the share of bad rows
+    above it. It is midway from the end of the bin that would be too many to the next one taken, or to
+    0.5, the score of a usual path, if that comes first. Without good rows 1.01, which rejects nothing."""
     rows = sorted(((r["bin"], r["good"], r["bad"]) for r in counts), reverse=True)
-    allowed = tolerance * sum(r[1] for r in rows)
-    above, edge = 0, 1.01
-    for (at, good, bad), below in zip(rows, [r[0] for r in rows[1:]] + [-1] * bool(rows), strict=True):
-        above += good
-        if above > allowed:
-            break
-        if bad:
-            edge = (at + below + 1) / 2 / BINS
-    return edge
+    good, bad = sum(r[1] for r in rows), sum(r[2] for r in rows)
+    above = caught = 0
+    last = None
+    for at, g, b in rows:
+        if good and above + g > tolerance * good:
+            next_up = min(BINS // 2 if last is None else last, max(BINS // 2, at + 1))
+            return (at + 1 + max(next_up, at + 1)) / 2 / BINS, caught / max(bad, 1)
+        above, caught, last = above + g, caught + b, at
+    return 1.01, 0.0
 
 
 def judge(stats: DataFrame, forest: Judge) -> DataFrame:

@@ -47,12 +47,12 @@ def test_run_equals_its_stages(spark, tables):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_same_rows_as_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "embeddings", "conversations"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     df = QUERIES[name](spark, FOLDER)
     assert sorted(map(tuple, df.collect())) == sorted(duck.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLE[name]})").fetchall())
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert near_dup.BANDS * near_dup.ROWS <= 255 and decontaminate.RADIUS < decontaminate.BLOCKS * (decontaminate.RADIUS // decontaminate.BLOCKS + 1) and pii.KINDS[:4] == ["email", "ip", "card", "phone"]
