@@ -35,19 +35,15 @@ TRAINING_CHARS, LINES = 4000, 8
 STEP_VALUES = 1 << 21  # numbers of step matrices held at once
 PIECE, SEQUENCE, SEGMENT = 20, 60, 32
 CACHE_WORDS = 400_000  # bounds memory
-WORD = re.compile(r"[^\W\d_]+")
+#: Numerals that count as word characters but are no letters, such as superscripts and fractions.
+NUMERALS = "".join(c for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{NUMERALS}]+")
 UNKNOWN = "und"
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters. Superscripts, fractions and Roman numeral signs are no letters, though they
-    count as word characters."""
-    found = WORD.findall(text.lower()) if text else []
-    return [part for w in found for part in ([w] if w.isalpha() else letters(w))]
-
-
-def letters(word: str) -> list[str]:
-    return "".join(c if c.isalpha() else " " for c in word).split()
+    """Runs of letters, in lower case."""
+    return WORD.findall(text.lower()) if text else []
 
 
 def features(word: str) -> list[int]:
