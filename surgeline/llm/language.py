@@ -35,15 +35,17 @@ TRAINING_CHARS, LINES = 4000, 8
 STEP_VALUES = 1 << 21  # numbers of step matrices held at once
 PIECE, SEQUENCE, SEGMENT = 20, 60, 32
 CACHE_WORDS = 400_000  # bounds memory
-#: Numerals that count as word characters but are no letters, such as superscripts and fractions.
-NUMERALS = "".join(c for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{NUMERALS}]+")
+WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, in lower case."""
-    return WORD.findall(text.lower()) if text else []
+    """Runs of letters, in lower case. Superscripts, fractions and other numerals that count as word
+    characters are no letters."""
+    found = WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for w in found for part in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 def features(word: str) -> list[int]:
