@@ -7,9 +7,11 @@ similarity of their word shingles (weights are counts) reaches `threshold`. Step
    shingles, so that one of its shingles at every fifth word must be one of the benchmark's. Only one
    shingle in five is therefore looked up. Items too short for this bound switch the lookup to every
    word; nothing is lost either way.
-2. In these documents, each shingle of the benchmark aligns windows of the items that have it.
-3. Each window gets a 64-bit SimHash. Multi-index Hamming blocks (four of 16 bits, each item listed
-   under every value within floor(radius / 4) bits) find all items of the window's size within
+2. In these documents, a window can match an item of its size only if so many of its shingles are
+   among those of the items of this size as the similarity needs. The starts of all such windows follow
+   from the sorted places of these shingles, whatever their order; every one is taken.
+3. Each window gets a 64-bit SimHash. Multi-index Hamming blocks (four of 16 bits, each item of items
+   and windows the smaller side is listed under every value within floor(radius / 4) bits) find all items of the window's size within
    `radius`. A similarity of 0.8 is 10 bits on average, 19 with a chance above 0.999.
 4. The exact weighted similarity of the shingles decides; the best window of each pair is reported.
 
@@ -82,6 +84,33 @@ def masks_within(bits: int) -> Column:
     return F.from_json(F.lit(str(masks)), "array<bigint>")
 
 
+def _listed(prints: DataFrame, fingerprint: str, radius: int) -> DataFrame:
+    """Each row under the value of each of its blocks, or under all values within floor(radius / 4)
+    bits of it."""
+    rows = prints.withColumn("at", F.explode(block_values(fingerprint))).select(*prints.columns, "at.k", "at.value")
+    if not radius:
+        return rows
+    masked = rows.withColumn("mask", F.explode(masks_within(radius // BLOCKS)))
+    return masked.withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
+
+
+def window_starts(threshold: float) -> Column:
+    """Starts of the windows of n words that hold enough of the places `at` of shingles, sorted, in a
+    text of `length` words. With m shingles a window, two sets of which s are common are as similar
+    as s / (2m - s); a text shorter than n words is one window.
+
+    The i-th place is the first one of the windows that start behind the place before it, and at the
+    place itself at the latest; they hold enough if they reach the place so many further on.
+    """
+    m = "(n - size + 1)"
+    need = f"int(ceil({2 * threshold / (1 + threshold)!r}D * {m} - 1e-9))"
+    first = f"greatest(if(i = 0, 0, element_at(at, i) + 1), element_at(at, i + {need}) - {m} + 1, 0)"
+    last = "least(element_at(at, i + 1), length - n)"
+    each = f"transform(sequence(0, size(at) - {need}), i -> if({first} <= {last}, sequence({first}, {last}), array()))"
+    whole = f"size(at) >= {threshold / (1 + threshold)!r}D * ({m} + length - size + 1) - 1e-9"
+    return F.expr(f"CASE WHEN length < n THEN if({whole}, array(0), array()) WHEN size(at) >= {need} THEN flatten({each}) ELSE array() END")
+
+
 def counted(shingles: str) -> Column:
     """The shingles with a running number for equal ones, so that sets of them act as multisets."""
     return F.expr(f"transform({shingles}, (s, i) -> struct(s, size(filter(slice({shingles}, 1, i), t -> t = s)) as nth))")
@@ -115,7 +144,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     some = clean.join(checked_broadcast(ids, ids.count()), "doc_id", "left_semi").select("doc_id", F.split("clean", " ").alias("words"))
     some = materialize(some, "suspect_words")
 
-    lists = items.select("n", "size", F.posexplode("shingles").alias("offset", "gram")).groupBy("gram", "size", "n").agg(F.collect_set("offset").alias("offsets"))
+    lists = items.select("n", "size", F.explode("shingles").alias("gram")).distinct()
     sizes = [row[0] for row in items.select("size").distinct().collect()]  # at most five numbers
     places = None
     for size in sizes:
@@ -123,17 +152,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         places = one if places is None else places.unionByName(one)
     if places is None:  # no item has words
         places = some.select("doc_id", F.lit(0).alias("length"), F.lit(0).alias("place"), F.lit("").alias("gram"), F.lit(0).alias("size")).where("false")
-    start = F.greatest(F.lit(0), F.least(F.col("place") - F.col("offset"), F.col("length") - F.col("n")))
-    aligned = places.join(lists, ["gram", "size"]).withColumn("offset", F.explode("offsets"))
-    windows = aligned.select("doc_id", "n", "size", start.alias("start")).distinct()
-    cut = windows.join(some, "doc_id").withColumn("part", F.expr("slice(words, start + 1, n)")).where("size(part) > 0")
+    hits = places.join(lists, ["gram", "size"]).groupBy("doc_id", "length", "n", "size").agg(F.sort_array(F.collect_set("place")).alias("at"))  # of one text
+    windows = hits.select("doc_id", "length", "n", "size", F.explode(window_starts(threshold)).alias("start"))
+    cut = windows.join(some.withColumn("length", F.size("words")), ["doc_id", "length"]).withColumn("part", F.expr("slice(words, start + 1, n)")).where("size(part) > 0").distinct()
     cut = cut.select("doc_id", "n", "start", grams("part", "size").alias("shingles")).withColumn("print", simhash("shingles"))
     cut = materialize(cut, "windows")
 
-    listed = items.select("item_id", "n", simhash("shingles").alias("item_print"))
-    keys = listed.select("item_id", "n", "item_print", F.explode(block_values("item_print")).alias("at")).withColumn("mask", F.explode(masks_within(radius // BLOCKS)))
-    keys = keys.select("item_id", "n", "item_print", F.col("at.k").alias("k"), F.col("at.value").bitwiseXOR(F.col("mask")).alias("value"))
-    probes = cut.select("doc_id", "n", "start", "print", F.explode(block_values("print")).alias("at")).select("doc_id", "n", "start", "print", "at.k", "at.value")
+    few_items = items.count() <= cut.count()
+    keys = _listed(items.select("item_id", "n", simhash("shingles").alias("item_print")), "item_print", radius if few_items else 0)
+    probes = _listed(cut.select("doc_id", "n", "start", "print"), "print", 0 if few_items else radius)
     near = probes.join(keys.hint("merge"), ["n", "k", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
     near = near.select("doc_id", "start", "n", "item_id").distinct()
 

@@ -74,10 +74,8 @@ doc_grams AS (
   SELECT doc_id, len(w) AS length, k, i - 1 AS at, array_to_string(w[i:i + k - 1], ' ') AS gram
   FROM docs, (SELECT DISTINCT k FROM items), unnest(range(1, len(w) - k + 2)) AS t(i)
 ),
-windows AS (
-  SELECT DISTINCT d.doc_id, g.n, g.k, greatest(0, least(d.at - g.at, d.length - g.n)) AS start
-  FROM doc_grams d JOIN item_grams g USING (gram, k)
-),
+suspects AS (SELECT DISTINCT d.doc_id, d.length, g.n, g.k FROM doc_grams d JOIN item_grams g USING (gram, k)),
+windows AS (SELECT doc_id, n, k, start FROM suspects, unnest(range(0, greatest(length - n, 0) + 1)) AS t(start)),
 window_counts AS (
   SELECT v.doc_id, v.n, v.start, g.gram, count(*) AS c
   FROM windows v JOIN doc_grams g ON g.doc_id = v.doc_id AND g.k = v.k AND g.at BETWEEN v.start AND v.start + v.n - v.k

@@ -1,5 +1,6 @@
 import re
 from collections import Counter
+from random import Random
 
 from helpers import ODD, documents, text_of
 from surgeline.llm.decontaminate import contaminated, grid_suffices
@@ -48,6 +49,36 @@ def test_same_matches_as_every_window(spark):
     assert all(r.shared <= r.total for r in found)
 
 
+def test_reordered_items_are_found(spark):
+    """Halves or thirds swapped, pieces moved, and as much that falls just short."""
+    rng = Random(6)
+    items = [(k, text_of(500 + k, n)) for k, n in enumerate([40, 60, 80, 120, 200])]
+    docs = []
+    for k, (_, t) in enumerate(items):
+        w = t.split()
+        for cut in (2, 3, 5, 8):
+            for _ in range(4):
+                edges = sorted(rng.sample(range(1, len(w)), cut - 1))
+                parts = [w[a:b] for a, b in zip([0, *edges], [*edges, len(w)], strict=True)]
+                rng.shuffle(parts)
+                docs.append((len(docs), " ".join([*text_of(k, rng.randrange(30)).split(), *[x for p in parts for x in p], *text_of(k + 9, rng.randrange(30)).split()])))
+    w = items[2][1].split()
+    docs.append((900, " ".join([*text_of(1, 20).split(), *w[40:], *w[:40], *text_of(2, 20).split()])))
+    found = {(r.doc_id, r.item_id): r.start_word for r in contaminated(documents(spark, docs), spark.createDataFrame(items, ITEMS)).collect()}
+    want = brute(docs, items)
+    assert found.keys() == want and found[900, 2] == 20 and 20 < len(want) < len(docs)
+
+
+def test_either_side_may_be_listed(spark):
+    """More items than windows, and fewer."""
+    items = [(k, text_of(500 + k, 20)) for k in range(30)]
+    few = [(1, f"{text_of(1, 9)} {items[3][1]} {text_of(2, 9)}")]
+    many = [(k, f"{text_of(k, 9)} {items[k % 2][1]} {text_of(k + 50, 9)}") for k in range(60)]
+    for docs, listed in ((few, items), (many, items[:2])):
+        found = contaminated(documents(spark, docs), spark.createDataFrame(listed, ITEMS)).collect()
+        assert {(r.doc_id, r.item_id) for r in found} == brute(docs, listed)
+
+
 def test_odd_rows_and_empty_tables(spark):
     items = spark.createDataFrame([(1, "same text here twice")], ITEMS)
     assert {(r.doc_id, r.item_id) for r in contaminated(documents(spark, ODD), items).collect()} == {(905, 1)}
