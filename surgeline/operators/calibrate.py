@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.robust import nearest_index
 from ..schemas import ITEM
+from ..session import materialize
 from .ranks import percentile_nearest, select_ranks
 
 # Suggestion quantiles, floors and steps; noise and history limits.
@@ -25,14 +26,15 @@ TOP_PROFILES = 15
 TIER_NAMES = ("alert", "throttle", "kill")
 
 
+def _usable() -> Column:
+    p, baseline = F.col("policy"), F.col("baseline")
+    enough = (baseline["days"] >= p["baseline"]["min_days"]) & (F.col("normalized") >= p["guards"]["min_cu_seconds"])
+    return F.coalesce(F.col("ratio").isNotNull() & enough, F.lit(False))
+
+
 def usable_ratios(scored: DataFrame) -> DataFrame:
     """Intervals that would have been judged: enough days, trusted baseline, enough consumption."""
-    p, baseline = F.col("policy"), F.col("baseline")
-    return scored.filter(
-        F.col("ratio").isNotNull()
-        & (baseline["days"] >= p["baseline"]["min_days"])
-        & (F.col("normalized") >= p["guards"]["min_cu_seconds"])
-    )
+    return scored.filter(_usable())
 
 
 def _breaches(usable: Column) -> list[Column]:
@@ -42,13 +44,7 @@ def _breaches(usable: Column) -> list[Column]:
 
 def item_profile(scored: DataFrame) -> DataFrame:
     """Samples, median and p95 consumption, highest ratio and breaches of every item."""
-    p, baseline = F.col("policy"), F.col("baseline")
-    usable = (
-        F.col("ratio").isNotNull()
-        & (baseline["days"] >= p["baseline"]["min_days"])
-        & (F.col("normalized") >= p["guards"]["min_cu_seconds"])
-    )
-    usable = F.coalesce(usable, F.lit(False))
+    usable = _usable()
     counts = scored.groupBy(*ITEM).agg(
         F.min_by("item_name", "window_end").alias("item_name"),
         F.min_by("item_kind", "window_end").alias("item_kind"),
@@ -78,12 +74,6 @@ def item_profile(scored: DataFrame) -> DataFrame:
     )
 
 
-def breach_map(profiles: DataFrame) -> DataFrame:
-    """The three breach counts as one map column."""
-    names = F.array(*[F.lit(t) for t in TIER_NAMES])
-    return profiles.withColumn("breaches", F.map_from_arrays(names, F.array(*TIER_NAMES))).drop(*TIER_NAMES)
-
-
 def exposure() -> Column:
     return F.col("kill") * KILL_WEIGHT + F.col("max_ratio")
 
@@ -101,14 +91,15 @@ def noisy_items(profiles: DataFrame) -> DataFrame:
     return noisy.groupBy("capacity_key").agg(F.transform(ordered, lambda x: x["item_name"]).alias("noisy_items"))
 
 
+TAIL = {"_p95": ALERT_QUANTILE, "_p99": THROTTLE_QUANTILE, "_p995": KILL_QUANTILE}
+
+
 def suggest_thresholds(usable: DataFrame, capacities: DataFrame) -> DataFrame:
     """Thresholds from the upper tail of the ratios; the current ones where there are none."""
-    tail = percentile_nearest(
-        usable,
-        ["capacity_key"],
-        "ratio",
-        {"_p95": ALERT_QUANTILE, "_p99": THROTTLE_QUANTILE, "_p995": KILL_QUANTILE},
-    )
+    return _thresholds(percentile_nearest(usable, ["capacity_key"], "ratio", TAIL), capacities)
+
+
+def _thresholds(tail: DataFrame, capacities: DataFrame) -> DataFrame:
     steps = F.col("policy")["thresholds"]
     alert = F.round(F.greatest(F.lit(ALERT_FLOOR), F.col("_p95")), 2)
     throttle = F.round(F.greatest(F.col("_alert") + THROTTLE_STEP, F.col("_p99")), 2)
@@ -125,10 +116,22 @@ def suggest_thresholds(usable: DataFrame, capacities: DataFrame) -> DataFrame:
 
 def suggest_min_cu(scored: DataFrame) -> DataFrame:
     """Median consumption of an interval (nearest rank), in whole units."""
-    middle = percentile_nearest(scored, ["capacity_key"], "normalized", {"_p50": 0.5})
+    return _min_cu(percentile_nearest(scored, ["capacity_key"], "normalized", {"_p50": 0.5}))
+
+
+def _min_cu(middle: DataFrame) -> DataFrame:
     return middle.select("capacity_key", F.bround("_p50").alias("suggested_min_cu"))
 
 
+def _suggestions(scored: DataFrame, capacities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both suggestions from one selection over rows of (capacity, metric, value)."""
+    ratio = F.when(_usable(), F.col("ratio"))
+    metrics = F.array(F.struct(F.lit("ratio").alias("metric"), ratio.alias("value")), F.struct(F.lit("cu").alias("metric"), F.col("normalized").alias("value")))
+    stacked = scored.select("capacity_key", F.inline(metrics))
+    ranks = materialize(percentile_nearest(stacked, ["capacity_key", "metric"], "value", TAIL | {"_p50": 0.5}), "quantiles")
+    return _thresholds(ranks.filter("metric = 'ratio'"), capacities), _min_cu(ranks.filter("metric = 'cu'"))
+
+
 def days_seen(scored: DataFrame) -> DataFrame:
     days = F.count_distinct(F.to_date("window_end"))
     return scored.groupBy("capacity_key").agg(
@@ -144,24 +147,16 @@ def calibration_report(
     `discarded` is the output of `discard_count`, which also tells capacities without any interval
     from those whose intervals were all incomparable.
     """
-    usable = usable_ratios(scored)
-    steps = F.col("policy")["thresholds"]
+    usable = _usable()
     totals = scored.groupBy("capacity_key").agg(
         F.count("*").alias("total_intervals"),
         F.count_distinct(F.to_date("window_end")).alias("days_of_history"),
+        *[would.alias(f"would_{t}") for t, would in zip(TIER_NAMES, _breaches(usable), strict=True)],
     )
-    would = usable.groupBy("capacity_key").agg(
-        *[F.count_if(F.col("ratio") >= steps[t]).alias(f"would_{t}") for t in TIER_NAMES]
-    )
+    thresholds, min_cus = _suggestions(scored, capacities)
     key = "capacity_key"
     joined = capacities.filter("enabled").select(key, "policy").join(discarded, key, "left")
-    for part in (
-        totals,
-        would,
-        suggest_thresholds(usable, capacities),
-        suggest_min_cu(scored),
-        noisy_items(profiles),
-    ):
+    for part in (totals, thresholds, min_cus, noisy_items(profiles)):
         joined = joined.join(part, key, "left")
     zero = F.lit(0).cast("long")
     empty = F.array().cast("array<string>")
