@@ -539,11 +539,12 @@ def _latest(spark, d) -> tuple[DataFrame, DataFrame]:
 @query
 def interval_pairing(spark, d):
     """Each reading paired with the item's last one of the day before."""
-    rows = fx.snapshots(spark, d)
-    daily = sn.dedup_latest_by_key(rows.withColumn("day", F.to_date("ts")), [*ITEM, "day"], [F.desc("ts")])
-    before = daily.select(*ITEM, F.date_add("day", 1).alias("day"), F.col("ts").alias("prev_ts"), F.col("cu_seconds_today").alias("prev_cu"))
-    pairs = rows.withColumn("day", F.to_date("ts")).join(before, [*ITEM, "day"])
-    return _show_intervals(iv.intervals_from_pairs(pairs))
+    rows = fx.snapshots(spark, d).withColumn("day", F.to_date("ts"))
+    of_day = lambda day: F.concat("item_id", F.lit("@"), day.cast("string"))
+    before = sn.dedup_latest_by_key(rows, [*ITEM, "day"], [F.desc("ts")])
+    current, previous = rows.withColumn("item_id", of_day(F.col("day"))), before.withColumn("item_id", of_day(F.date_add("day", 1)))
+    intervals = iv.intervals_from_pairs(iv.interval_pairing(current, previous))
+    return _show_intervals(intervals.withColumn("item_id", F.substring_index("item_id", "@", 1)))
 
 
 @query
