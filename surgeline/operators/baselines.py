@@ -68,42 +68,39 @@ def lookback_classes(capacities: DataFrame) -> list[int]:
 def replay_baselines(intervals: DataFrame, capacities: DataFrame) -> DataFrame:
     """For each comparable interval the baseline its own past gave it (1..lookback days before).
 
-    All intervals of a day in a bucket share that past, so they are first folded into one row per
-    day; the window then runs over days and is as long as the calendar, whatever the cadence.
-    Fold and window share one shuffle. Each lookback that a policy asks for has a frame of its
-    own, which collects nothing for the capacities of another: a capacity that looks back a week
-    does not carry the quarter of its neighbour, and none is cut short.
+    All intervals of a day in a bucket share that past: a range frame over days gathers it once for
+    all of them. The intervals are sorted once, after one shuffle, and only values are gathered. Each
+    lookback that a policy asks for has a frame of its own, which collects nothing for the capacities
+    of another: a capacity that looks back a week does not carry the quarter of its neighbour, and
+    none is cut short. The item leads the sort, as it tells more rows apart than its capacity.
     """
-    key = [*BUCKET, "_lookback", "day"]
     rest = [c for c in intervals.columns if c not in (*BUCKET, "policy", "sku", "cu_per_second")]
-    days = (
+    by_day = Window.partitionBy("item_id", "bucket", "capacity_key").orderBy("_day")
+    rows = (
         intervals.filter("comparable")
         .select(
             *BUCKET,
+            *rest,
             F.col("policy")["baseline"]["lookback_days"].alias("_lookback"),
-            F.to_date("window_end").alias("day"),
-            F.struct(*rest).alias("_row"),
+            F.unix_date(F.to_date("window_end")).alias("_day"),
         )
         .repartition(*BUCKET)
-        .groupBy(*key)
-        .agg(F.collect_list("_row").alias("_rows"))
-        .withColumn("_day", F.unix_date("day"))
+        .withColumn("_new_day", (~F.lag("_day").over(by_day).eqNullSafe(F.col("_day"))).cast("int"))
     )
-    by_day = Window.partitionBy(*BUCKET).orderBy("_day")
-    samples = F.transform("_rows", lambda r: r["normalized"])
-    frames = [
-        F.collect_list(F.when(F.col("_lookback") == n, samples)).over(by_day.rangeBetween(-n, -1))
-        for n in lookback_classes(capacities)
-    ]
+    value, zero = F.col("normalized"), F.lit(0)
+    collected, unknown, days = [F.array().cast("array<double>")], zero, zero
+    for n in lookback_classes(capacities):
+        own, past = F.col("_lookback") == n, by_day.rangeBetween(-n, -1)
+        collected.append(F.collect_list(F.when(own, value)).over(past))
+        unknown = unknown + F.count_if(own & value.isNull()).over(past)
+        days = days + F.coalesce(F.sum(F.when(own, F.col("_new_day"))).over(past), zero)
+    framed = rows.withColumns({"_known": F.concat(*collected), "_unknown": unknown.cast("int"), "_days": days})
     policies = capacities.filter("enabled").drop("capacity_id", "enabled")
-    framed = days.withColumn("_past", F.concat(*frames) if frames else F.array().cast("array<array<double>>"))
-    recent = (
-        framed.join(policies, "capacity_key")
-        .withColumn("_samples", F.flatten("_past"))
-        .withColumn("_days", F.size("_past"))
-    )
+    missing = F.array_repeat(F.lit(None).cast("double"), F.col("_unknown"))
+    samples = F.when(F.col("_unknown") > 0, F.concat("_known", missing)).otherwise(F.col("_known"))
     joined = [c for c in policies.columns if c != "capacity_key"]
-    return _with_baseline(recent).select(*BUCKET, "baseline", *joined, F.inline("_rows"))
+    recent = framed.join(policies, "capacity_key").withColumn("_samples", samples)
+    return _with_baseline(recent).select(*BUCKET, "baseline", *joined, *rest)
 
 
 # -- a history that grows batch by batch

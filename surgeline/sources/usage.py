@@ -12,6 +12,7 @@ from ..schemas import ATTRIBUTES, ITEM
 
 IDENTITY = ["capacity_key", "capacity_id", "item_id", *ATTRIBUTES]
 DESCRIBED = [c for c in IDENTITY if c not in ITEM]
+BY_DAY = ["item_id", "capacity_key", "_of"]  # the item leads sorts, as it tells more rows apart
 
 
 def semi_capacity(usage: DataFrame, capacities: DataFrame) -> DataFrame:
@@ -24,14 +25,16 @@ def _summed(usage: DataFrame, **keys: Column) -> DataFrame:
 
     Descriptions are grouping keys at first: sums and times fit a hash aggregate, which combines the
     log before the shuffle and never sorts it. Only the few rows left, one more wherever an item was
-    renamed within a key, are compared by description.
+    renamed within a key, are compared by description. They are dealt by item and day, as running sums
+    need them, and stay in order of item, day and key.
     """
-    by = [*ITEM, *[f"_{n}" for n in keys]]
+    by = [f"_{n}" for n in keys]
     named = usage.select(*ITEM, *DESCRIBED, "ts", "cu_seconds", *[c.alias(f"_{n}") for n, c in keys.items()])
-    sums = named.groupBy(*by, *DESCRIBED).agg(F.max("ts").alias("_at"), F.sum("cu_seconds").alias("_part"))
+    sums = named.groupBy(*ITEM, *by, *DESCRIBED).agg(F.max("ts").alias("_at"), F.sum("cu_seconds").alias("_part"))
+    dealt = sums.withColumn("_of", F.to_date(by[0])).repartition(*ITEM, "_of")
     newest = F.max(F.struct("_at", *DESCRIBED)).alias("_newest")
-    joined = sums.groupBy(*by).agg(newest, F.sum("_part").alias("_used"))
-    return joined.select(*ITEM, *[F.col(f"_newest.{c}").alias(c) for c in DESCRIBED], *[F.col(f"_{n}").alias(n) for n in keys], "_used")
+    joined = dealt.groupBy(*BY_DAY, *by).agg(newest, F.sum("_part").alias("_used"))
+    return joined.select(*ITEM, *[F.col(f"_newest.{c}").alias(c) for c in DESCRIBED], "_of", *[F.col(f"_{n}").alias(n) for n in keys], "_used")
 
 
 def daily_cumulative(usage: DataFrame, on: dt.date | None = None) -> DataFrame:
@@ -51,13 +54,12 @@ def cumulative_snapshots(usage: DataFrame, reading_time: Column | None = None) -
     """
     at = end_of_hour(F.col("ts")) if reading_time is None else reading_time
     so_far = (
-        Window.partitionBy(*ITEM, "_day")
+        Window.partitionBy(*BY_DAY)
         .orderBy("ts")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
         _summed(usage, ts=at)
-        .withColumn("_day", F.to_date("ts"))
         .withColumn("cu_seconds_today", F.sum("_used").over(so_far))
         .select("ts", *IDENTITY, "cu_seconds_today")
     )

@@ -128,3 +128,13 @@ def test_extended_baselines_equal_replayed_ones(make):
     stored = half.unionByName(day_samples(early.filter("minute(window_end) >= 25"))).unionByName(half).unionByName(other)
     found = {(r.item_id, r.window_end): r.baseline for r in extend_baselines(late, stored, caps).collect()}
     assert found == {k: v for k, v in expected.items() if k[1].day > 15} and found
+
+
+def test_unknown_consumption_counts_as_a_sample(make):
+    """A null among the samples of a day is counted, sorts first and makes a mean unknown."""
+    rows = [{"start": at(13)}, {"start": at(14)}, {"start": at(14, 9, 20)}, {"start": at(15)}]
+    caps = make.capacities(baseline={"method": "p90", "trim_top_percent": 0.0})
+    known = make.intervals(*rows).withColumn("cu_seconds", F.when(F.col("window_start") != F.lit(at(14)).cast("timestamp_ntz"), F.col("cu_seconds")))
+    found = {(r.window_end.day, r.window_end.minute): r.baseline for r in replay_baselines(with_cadence(policy_join(known, caps)), caps).collect()}
+    assert found[13, 15] is None and found[14, 15] == found[14, 35] and (found[14, 15].samples, found[14, 15].days) == (1, 1)
+    assert (found[15, 15].samples, found[15, 15].days, found[15, 15].value) == (3, 2, 1000.0)

@@ -6,12 +6,15 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from surgeline.operators.baselines import replay_baselines
 from surgeline.operators.detect import assess, cycle_gates
-from surgeline.operators.intervals import derive_intervals
+from surgeline.operators.intervals import derive_intervals, with_cadence
 from surgeline.operators.ranks import percentile_nearest
 from surgeline.operators.snapshots import dedup_latest_by_key, latest_per_item, top_consumers
 from surgeline.plans.replay import score_history
-from surgeline.schemas import ITEM
+from surgeline.policy import policy_join
+from surgeline.schemas import ITEM, USAGE
+from surgeline.sources.usage import cumulative_snapshots
 
 T0 = dt.datetime(2029, 8, 1)
 
@@ -99,3 +102,23 @@ def test_one_item_may_hold_most_rows(make, spark):
     used = source["cu_seconds_today"].where(~same, source["cu_seconds_today"] - before)[previous.notna()]
     assert len(rows) == len(used)
     assert sorted(rows["cu_seconds"]) == sorted(used)
+
+
+def test_readings_are_dealt_once_after_their_sums(spark, tmp_path):
+    """The rows left of a log are dealt by item and day and sorted once, for sums and running sums."""
+    path = str(tmp_path / "usage")
+    rows = [(T0 + dt.timedelta(minutes=n), "north", "c17", i, "Old" if n < 90 else "New", "Model", "w", "W", 1.0) for n in range(180) for i in "ab"]
+    spark.createDataFrame(rows, USAGE).write.parquet(path)
+    readings = cumulative_snapshots(spark.read.parquet(path))
+    text = plan(readings)
+    assert text.count(" Exchange ") == 2 and text.count(" Sort ") == 1, text
+    found = sorted((r.item_id, r.ts.hour, r.item_name, r.cu_seconds_today) for r in readings.collect())
+    assert found == [(i, h, "Old" if h == 0 else "New", 60.0 * (h + 1)) for i in "ab" for h in range(3)]
+
+
+def test_replayed_baselines_sort_intervals_once(stored, make):
+    """Intervals are shuffled and sorted once for their baselines and never gathered as whole rows."""
+    caps = make.capacities(interval_minutes=60)
+    cadenced = with_cadence(policy_join(derive_intervals(stored), caps))
+    own = plan(replay_baselines(cadenced, caps)).split("REPARTITION_BY_COL")[0]
+    assert "collect_list" in own and own.count(" Sort ") == 1 and "ObjectHashAggregate" not in own, own
