@@ -25,6 +25,9 @@ TOP_PROFILES = 15
 
 TIER_NAMES = ("alert", "throttle", "kill")
 
+# What the statistics read of a scored interval, besides its capacity's policy.
+READ = [*ITEM, "item_name", "item_kind", "window_end", "normalized", "baseline", "ratio"]
+
 
 def _usable() -> Column:
     p, baseline = F.col("policy"), F.col("baseline")
@@ -45,13 +48,19 @@ def _breaches(usable: Column) -> list[Column]:
 def item_profile(scored: DataFrame) -> DataFrame:
     """Samples, median and p95 consumption, highest ratio and breaches of every item."""
     usable = _usable()
-    counts = scored.groupBy(*ITEM).agg(
-        F.min_by("item_name", "window_end").alias("item_name"),
-        F.min_by("item_kind", "window_end").alias("item_kind"),
+    named = scored.groupBy(*ITEM, "item_name", "item_kind").agg(  # names as keys: no interval is sorted
+        F.min("window_end").alias("_first"),
         F.count("*").alias("samples"),
-        F.coalesce(F.max(F.when(usable, F.col("ratio"))), F.lit(0.0)).alias("max_ratio"),
+        F.max(F.when(usable, F.col("ratio"))).alias("max_ratio"),
         *_breaches(usable),
     )
+    counts = named.groupBy(*ITEM).agg(
+        F.min_by("item_name", "_first").alias("item_name"),
+        F.min_by("item_kind", "_first").alias("item_kind"),
+        F.sum("samples").alias("samples"),
+        F.coalesce(F.max("max_ratio"), F.lit(0.0)).alias("max_ratio"),
+        *[F.sum(t).alias(t) for t in TIER_NAMES],
+    )
     ranks = select_ranks(
         scored,
         ITEM,

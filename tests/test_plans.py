@@ -7,10 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from surgeline.operators.baselines import replay_baselines
+from surgeline.operators.calibrate import READ, item_profile
 from surgeline.operators.detect import assess, cycle_gates
 from surgeline.operators.intervals import derive_intervals, with_cadence
 from surgeline.operators.ranks import percentile_nearest
 from surgeline.operators.snapshots import dedup_latest_by_key, latest_per_item, top_consumers
+from surgeline.plans.calibration import calibrate
 from surgeline.plans.replay import score_history
 from surgeline.policy import policy_join
 from surgeline.schemas import ITEM, USAGE
@@ -122,3 +124,14 @@ def test_replayed_baselines_sort_intervals_once(stored, make):
     cadenced = with_cadence(policy_join(derive_intervals(stored), caps))
     own = plan(replay_baselines(cadenced, caps)).split("REPARTITION_BY_COL")[0]
     assert "collect_list" in own and own.count(" Sort ") == 1 and "ObjectHashAggregate" not in own, own
+
+
+def test_calibration_moves_what_its_statistics_read(stored, make, tmp_path, spark):
+    """Profiles never sort the intervals, and only columns that a statistic reads are written."""
+    caps = make.capacities(interval_minutes=60)
+    scored = score_history(stored, caps)
+    text = plan(item_profile(policy_join(scored.select(*READ), caps).localCheckpoint()))
+    below = [part for part in text.split("Exchange")[1:] if "partial_min(window_end" in part]
+    assert below and "SortAggregate" not in below[0].split("partial_min(window_end")[0], text
+    report = calibrate(derive_intervals(stored), caps).report
+    assert report.first().total_intervals == scored.count()
